@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from keyledger.llm import near_dup
+from keyledger.llm import near_dup, substring_dup, tokens
 
-_MODULES = (near_dup,)
+_MODULES = (near_dup, substring_dup, tokens)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
