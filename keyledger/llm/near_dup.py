@@ -84,6 +84,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """`docs` without the rows that `near_duplicates` does not keep; columns stay as they are.
+
+    Rows that share the kept id all stay if they are texts of its component; rows with a null id stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, **how)
+    gone = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of `documents`: 3-word shingles, Jaccard of 0.85 or more."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, num=85, den=100)

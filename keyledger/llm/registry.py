@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from keyledger.llm import near_dup, substring_dup, tokens, url_filter, vector_search, warc
+from keyledger.llm import decontaminate, html_text, near_dup, substring_dup, tokens, toxicity, url_filter, vector_search, warc
 
-_MODULES = (near_dup, substring_dup, tokens, url_filter, vector_search, warc)
+_MODULES = (decontaminate, html_text, near_dup, substring_dup, tokens, toxicity, url_filter, vector_search, warc)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
