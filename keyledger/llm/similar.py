@@ -184,7 +184,7 @@ def _tiles(rows: DataFrame, comp: DataFrame, least: int, top: int | None) -> Dat
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "agree": pa.array([], pa.int32())})
         return pa.concat_tables(out) if out else empty
 
-    met = ask.select(*cols).groupBy("p", "i", "j").cogroup(side.select(*cols).groupBy("p", "i", "j")).applyInArrow(meet, PAIR)
+    met = ask.select(*cols).groupBy("p", "i", "j").cogroup(side.select(*[F.col(c).alias(c) for c in cols]).groupBy("p", "i", "j")).applyInArrow(meet, PAIR)
     return met.groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 

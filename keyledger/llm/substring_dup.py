@@ -29,6 +29,8 @@ from keyledger.llm.components import components
 
 N, GAP, BANDS, ROWS, NEAR = 5, 24, 2, 2, 8
 BLOCK = GAP + N - 1  # words
+#: Shifted by more, two blocks are less than 0.8 similar: 22 of 26 shingles are, 21 of 27 are not.
+NUDGE = 2
 LEAST = 51
 
 
@@ -194,24 +196,31 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # the first block of each component stays
     named = firsts.join(comp.withColumnRenamed("id", "d"), "d", "left").withColumn("cluster", F.coalesce("component", "d"))
     keepers = named.groupBy("cluster").agg(F.min(F.struct("doc", "pos")).alias("keeper"), F.sum("n").alias("n")).where("n > 1")
-    named = named.select("d", "cluster").join(keepers.drop("n"), "cluster")
+    named = named.select("d", "cluster", F.struct("doc", "pos").alias("same")).join(keepers.drop("n"), "cluster")
     again = seen.join(named, "d").where(F.col("doc") != F.col("keeper.doc"))
-    again = again.select("doc", "pos", "cluster", F.col("keeper.doc").alias("kdoc"), F.col("keeper.pos").alias("kpos"))
-    order = W.partitionBy("doc").orderBy("pos")  # a document's own blocks
-    runs = again.withColumn("new", (F.col("pos") > F.coalesce(F.lag("pos").over(order) + BLOCK, F.lit(-1))).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(order)).groupBy("doc", "run").agg(F.min_by(F.struct("pos", "kdoc", "kpos", "cluster"), "pos").alias("x"), F.max_by(F.struct("pos", "kdoc", "kpos"), "pos").alias("y"))
-    runs = scratch.save(runs.select("doc", F.col("x.pos").alias("pos"), F.col("x.kdoc").alias("kdoc"), F.col("x.kpos").alias("kpos"), F.col("x.cluster").alias("cluster"), F.col("y.pos").alias("pos2"), F.col("y.kdoc").alias("kdoc2"), F.col("y.kpos").alias("kpos2")), "runs")
+    # an equal block elsewhere shows where the passage ends; linked blocks that aren't equal may lie NUDGE words apart, and give only their middle
+    equal = F.col("same.doc") != F.col("doc")
+    like, off = F.when(equal, F.col("same")).otherwise(F.col("keeper")), F.when(equal, 0).otherwise(NUDGE)
+    again = again.select("doc", "pos", "cluster", equal.alias("equal"), (F.col("pos") + off).alias("start"), (F.col("pos") + BLOCK - off).alias("stop"), like.alias("like"), F.col("keeper.doc").alias("first_doc"))
+    order = W.partitionBy("doc").orderBy("start", "stop")  # a document's own blocks
+    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    runs = again.withColumn("new", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int"))
+    entry = F.struct("start", "stop", "equal", "pos", F.col("like.doc").alias("kdoc"), F.col("like.pos").alias("kpos"), "cluster", "first_doc")
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc", "run").agg(F.min_by(entry, "start").alias("x"), F.max_by(entry, "stop").alias("y"))
+    first = {"start": "x.start", "equal": "x.equal", "pos": "x.pos", "kdoc": "x.kdoc", "kpos": "x.kpos", "cluster": "x.cluster", "first_doc": "x.first_doc"}
+    last = {"stop": "y.stop", "equal2": "y.equal", "pos2": "y.pos", "kdoc2": "y.kdoc", "kpos2": "y.kpos"}
+    runs = scratch.save(runs.select("doc", *[F.col(c).alias(n) for n, c in (first | last).items()]), "runs")
     ends = [runs.select(F.col(a).alias("doc"), F.col(b).alias("pos")) for a, b in (("doc", "pos"), ("doc", "pos2"), ("kdoc", "kpos"), ("kdoc2", "kpos2"))]
     wanted = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct()
     around = scratch.save(_visit(docs, wanted, _surroundings, "doc long, pos int, before binary, after binary").dropDuplicates(["doc", "pos"]), "around")
     for doc, pos, side, name in (("doc", "pos", "before", "b1"), ("kdoc", "kpos", "before", "b2"), ("doc", "pos2", "after", "a1"), ("kdoc2", "kpos2", "after", "a2")):
         runs = runs.join(around.select(F.col("doc").alias(doc), F.col("pos").alias(pos), F.col(side).alias(name)), [doc, pos])
-    grown = runs.select("doc", (F.col("pos") - _same("b1", "b2")).alias("start"), (F.col("pos2") + BLOCK + _same("a1", "a2")).alias("stop"), "kdoc", "cluster")
+    grown = runs.select("doc", (F.col("start") - F.when(F.col("equal"), _same("b1", "b2")).otherwise(0)).alias("start"), (F.col("stop") + F.when(F.col("equal2"), _same("a1", "a2")).otherwise(0)).alias("stop"), "first_doc", "cluster")
     grown = grown.where(F.col("stop") - F.col("start") >= least)
     reach = F.max("stop").over(W.partitionBy("doc").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
     grown = grown.withColumn("new", (F.col("start") >= F.coalesce(reach, F.lit(-1))).cast("int"))
     grown = grown.withColumn("run", F.sum("new").over(W.partitionBy("doc").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0)))
-    out = grown.groupBy("doc", "run").agg(F.min("start").alias("word_start"), F.max("stop").alias("word_stop"), F.min("kdoc").alias("keeper_id"), F.min("cluster").alias("cluster"))
+    out = grown.groupBy("doc", "run").agg(F.min("start").alias("word_start"), F.max("stop").alias("word_stop"), F.min("first_doc").alias("keeper_id"), F.min("cluster").alias("cluster"))
     return out.select(F.col("doc").alias(id_col), "word_start", "word_stop", (F.col("word_stop") - F.col("word_start")).alias("n_words"), "keeper_id", "cluster")
 
 

@@ -137,7 +137,7 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     block = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")
     dealt = clean.withColumns({"shard": home, "block": block})
     queries = dealt.where("__q").select("id", "v", "dim", "shard", "block")
-    points = dealt.select("id", "v", "dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    points = dealt.select(*[F.col(c).alias(c) for c in ("id", "v", "dim", "shard")], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     by_task, kind = ["dim", "shard", "block"], "query_id long, vec_id long, score long"
     run = lambda q: q.groupBy(*by_task).cogroup(points.groupBy(*by_task)).applyInArrow(_search_shard(k), kind)
     first = scratch.save(run(queries.withColumn("floor", F.lit(NONE).cast("long"))), "first")
