@@ -10,8 +10,8 @@ by key across the cluster, by range, so that even one key's rows are split betwe
    two nearest are verified on the full sets, and the links give components.
 3. What a crowded key left out is made up for: a crowded key whose rows all lie in one component needs nothing. In any other
    every row outside the largest component meets every row, tile by tile, on sketches. Each such row's nearest few are
-   verified, the components grow, and what then still lies between two components is verified wholly. So links aren't lost
-   to crowding, nor does any task hold a whole crowd, and no row is dropped.
+   verified, the components grow, and what then still lies between two components is verified within the tiles, on full sets. So
+   links aren't lost to crowding, nor does any task hold a whole crowd, and no row is dropped.
 """
 
 from __future__ import annotations
@@ -153,33 +153,50 @@ def _nearest(pairs: DataFrame, n: int) -> DataFrame:
     return ends.withColumn("rank", rank).where(F.col("rank") <= n).select("a", "b").distinct()
 
 
-def _tiles(rows: DataFrame, comp: DataFrame, least: int, top: int | None) -> DataFrame:
-    """Pairs between components of crowded keys: a row outside its key's largest component, against all rows of the key."""
+def _tiles(rows: DataFrame, comp: DataFrame, least: int, sets: DataFrame | None = None, num: int = 1, den: int = 1, top: int = 3) -> DataFrame:
+    """Of crowded keys: each row outside its key's largest component against all rows of the key that lie in another component than it.
+
+    Without `sets`, the `top` nearest of each row and tile by sketch. With them, pairs are verified where they meet, and a tile gives one link for
+    each two components that it finds linked: never all its pairs.
+    """
     rows = _labelled(rows, comp, "id", "c")
     sizes = rows.groupBy("p", "c").agg(F.count(F.lit(1)).alias("n"))
     keys = sizes.groupBy("p").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
     rows = rows.join(keys, "p")
-    asks, all_ = F.ceil((F.col("n") - F.col("most")) / TILE).cast("int"), F.ceil(F.col("n") / TILE).cast("int")
+    size = TILE if sets is None else TILE // 4
+    cols = ["p", "i", "j", "id", "c", "bits"]
+    if sets is not None:
+        rows, cols = rows.join(sets, "id"), [*cols, "set"]
+    asks, all_ = F.ceil((F.col("n") - F.col("most")) / size).cast("int"), F.ceil(F.col("n") / size).cast("int")
     spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     ask = rows.where("c <> main").withColumns({"i": spread(asks, 1), "j": F.explode(F.sequence(F.lit(0), all_ - 1))})
     side = rows.withColumns({"j": spread(all_, 2), "i": F.explode(F.sequence(F.lit(0), asks - 1))})
-    cols = ["p", "i", "j", "id", "c", "bits"]
+    exact = sets is not None
 
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         ids, other, ca, cb = left.column("id").to_numpy(), right.column("id").to_numpy(), left.column("c").to_numpy(), right.column("c").to_numpy()
         if len(ids) and len(other):
             x, y = _bits(left.column("bits")), _bits(right.column("bits"))
+            own, others = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set")] if exact else [] for t in (left, right))
+            known: set[tuple[int, int]] = set()
             for k in range(0, len(ids), 256):
                 agree = _agree(x[k : k + 256, None, :], y[None, :, :])
                 ok = (agree >= least) & (ca[k : k + 256, None] != cb[None, :])
-                if top is not None and len(other) > top:
-                    score = np.where(ok, agree, -1)
-                    at = np.argpartition(-score, top, axis=1)[:, :top]
+                if not exact and len(other) > top:
+                    at = np.argpartition(-np.where(ok, agree, -1), top, axis=1)[:, :top]
                     best = np.zeros_like(ok)
                     np.put_along_axis(best, at, True, axis=1)
                     ok &= best
                 r, c = np.nonzero(ok)
+                if exact:
+                    good = []
+                    for n, (a, b) in enumerate(zip((k + r).tolist(), c.tolist(), strict=True)):
+                        two = (int(min(ca[a], cb[b])), int(max(ca[a], cb[b])))
+                        if two not in known and S.linked(own[a], others[b], num, den):
+                            known.add(two)
+                            good.append(n)
+                    r, c = r[good], c[good]
                 out.append(pa.Table.from_batches([_pair_batch(ids[k + r], other[c], agree[r, c])]))
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "agree": pa.array([], pa.int32())})
         return pa.concat_tables(out) if out else empty
@@ -197,6 +214,7 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
     keyed = scratch.save(keyed, "keyed")
     pairs, crowd = candidates(keyed, least, scratch)
     crowd = scratch.save(crowd, "crowd")
+    scratch.drop(keyed)
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowd.select("id")).distinct()
     sets = scratch.save(sets_of(ids), "sets")
     tested = scratch.save(verify(_nearest(pairs, 2), sets, num, den), "tested")
@@ -213,6 +231,8 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
 
     tested, comp = grow(_between(pairs, comp).select("a", "b"), tested, comp)
     if crowd.limit(1).count():
-        for top in (3, 3, None):  # nearest first, so that the whole rest is small
-            tested, comp = grow(_tiles(crowd, comp, least, top).select("a", "b"), tested, comp)
+        # the nearest first, so that few rows are left outside the largest components
+        tested, comp = grow(_nearest(_tiles(crowd, comp, least), 2), tested, comp)
+        links = _tiles(crowd, comp, least, sets, num, den)
+        comp = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(comp.select(F.col("id").alias("u"), F.col("component").alias("v"))), scratch), "components")
     return comp
