@@ -122,7 +122,9 @@ def candidates(keyed: DataFrame, least: int, scratch: Scratch) -> tuple[DataFram
     again = _neighbours(edges.repartition("p").sortWithinPartitions("p", "s", "id"), least).where("b is not null")
     pairs = found.where("b is not null").select("a", "b", "agree").unionByName(again.select("a", "b", "agree")).distinct()
     crowded = keyed.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LIGHT)
-    return scratch.save(pairs, "pairs"), keyed.join(crowded, "p").select("p", "id", "bits")
+    pairs = scratch.save(pairs, "pairs")
+    scratch.drop(found)
+    return pairs, keyed.join(crowded, "p").select("p", "id", "bits")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int, near: Callable | None = None) -> DataFrame:
@@ -235,4 +237,6 @@ def linked_components(keyed: DataFrame, sets_of: Callable[[DataFrame], DataFrame
         tested, comp = grow(_nearest(_tiles(crowd, comp, least), 2), tested, comp)
         links = _tiles(crowd, comp, least, sets, num, den)
         comp = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(comp.select(F.col("id").alias("u"), F.col("component").alias("v"))), scratch), "components")
+    for table in (pairs, crowd, sets):
+        scratch.drop(table)
     return comp
