@@ -176,12 +176,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = ["p", "d", "doc", "pos"]
     banded = scratch.save(_banded(docs), "banded")  # else the texts are read twice, as a range exchange samples its input
     dealt = banded.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = scratch.save(_collisions(dealt), "collisions")
+    collided = scratch.save(_collisions(dealt), "collisions")
     scratch.drop(banded)
-    edge = _collisions(found.where("kind = 2").select(*order).distinct().repartition("p").sortWithinPartitions(*order)).where("kind < 2")
-    found = found.where("kind < 2").unionByName(edge)
+    edge = _collisions(collided.where("kind = 2").select(*order).distinct().repartition("p").sortWithinPartitions(*order)).where("kind < 2")
+    found = collided.where("kind < 2").unionByName(edge)
     seen = scratch.save(found.where("kind = 0").select("d", "doc", "pos").distinct(), "seen")
     pairs = scratch.save(found.where("kind = 1").select(F.col("d").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    scratch.drop(collided)
     # exact Jaccard of blocks that aren't equal: one occurrence of each digest is looked up
     ids = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
     firsts = seen.groupBy("d").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count(F.lit(1)).alias("n"))
@@ -196,6 +197,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = scratch.save(sets, "sets")
     both = pairs.join(sets.select(F.col("d").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("set").alias("y")), "b")
     comp = components(arrow_map(both.select("a", "b", "x", "y"), test, "u long, v long"), scratch)
+    scratch.drop(sets)
+    scratch.drop(pairs)
     # the first block of each component stays
     named = firsts.join(comp.withColumnRenamed("id", "d"), "d", "left").withColumn("cluster", F.coalesce("component", "d"))
     keepers = named.groupBy("cluster").agg(F.min(F.struct("doc", "pos")).alias("keeper"), F.sum("n").alias("n")).where("n > 1")
