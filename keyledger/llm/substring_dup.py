@@ -158,9 +158,9 @@ def _surroundings(doc: int, at: list[int], words: list[bytes]):
 
 def _same(a: str, b: str) -> Column:
     """How many of the first 4-byte words of two byte strings are equal."""
-    x, y = F.hex(a), F.hex(b)
-    n = F.least(F.length(x), F.length(y)) / 8
-    differs = F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: F.substring(x, i * 8 + 1, F.lit(8)) != F.substring(y, i * 8 + 1, F.lit(8)))
+    x, y = F.col(a), F.col(b)  # a part of bytes is cut without a walk over what is before it, as strings need
+    n = F.least(F.octet_length(x), F.octet_length(y)) / 4
+    differs = F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: F.substring(x, i * 4 + 1, F.lit(4)) != F.substring(y, i * 4 + 1, F.lit(4)))
     return F.coalesce(F.when(F.size(differs) > 0, differs[0]), n.cast("int"))
 
 
