@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyledger.llm.url_filter import build_filter, may_contain
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +41,15 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of `df` whose key is in `ids` (saved, one column of that name and type), by a semi-join that shuffles few other rows.
+
+    A blocked Bloom filter of bounded size goes before it. With more ids than it is made for it lets more rows pass, and the join stays exact.
+    """
+    words, blocks = build_filter(ids, key)
+    return df.where(may_contain(F.col(key), words, blocks)).join(ids, key, "left_semi")
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """Applies `f` to each batch; it gives a batch, several, or none."""
 

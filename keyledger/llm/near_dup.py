@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyledger.llm import shingles as S
-from keyledger.llm.common import Scratch, arrow_map, texts_of
+from keyledger.llm.common import Scratch, among, arrow_map, texts_of
 from keyledger.llm.similar import linked_components
 
 
@@ -75,7 +75,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = [S.shingle_set(t, n).tobytes() for t in texts_of(batch.column(1))]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
 
-        return arrow_map(docs.join(ids, "id", "left_semi"), sets, "id long, set binary")
+        return arrow_map(among(docs, scratch.save(ids, "ids"), "id"), sets, "id long, set binary")
 
     comp = linked_components(_trees(first), sets_of, num, den, scratch)
     named = reps.join(comp, reps["rep"] == comp["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
