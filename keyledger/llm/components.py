@@ -26,21 +26,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether every end is either a centre or has one edge to its centre, which then is the least of its component."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """`(id, component)` for every id with an edge; component: the smallest id reachable. edges: `u`, `v` longs, any order, repeats and loops allowed, no nulls."""
     now = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _stars_only(now):
         then = scratch.save(_stars(_stars(now, True), False), "edges")
-        new = _mark(then)
         scratch.drop(now)
         now = then
-        if new == mark:
-            break
-        mark = new
     members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return members.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
