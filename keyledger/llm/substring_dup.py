@@ -1,16 +1,16 @@
-"""Substring dedup: passages that repeat across documents, wherever in a line they stand, by MinHash banding of paragraphs.
+"""Substring dedup: passages that repeat across documents, wherever in a line they stand, unchanged or edited.
 
-Passages begin and end anywhere, so a paragraph here is a block of 28 words that starts where the text's own content says:
-at the least 5-word shingle hash of every 24 in a row. Two texts that share 51 words therefore share a whole block.
+Passages begin and end anywhere, so documents are compared from seeds: 13-word shingles picked by MinHash, the least hash of every
+13 in a row. Two texts that share 25 words in a row share a seed, wherever these stand. A passage of 51 words or more at a Jaccard of 0.8 (5-word shingles)
+to another holds such a run: an edit costs each side 4 shingles at least, so there are too few edits to cut it into shorter pieces.
 
-1. A block's MinHash values make 2 bands of 6. Rows (band, digest of the block, document, word) are sorted by range across
-   the cluster. Blocks with equal digests are equal; each other digest of a band meets the 3 before it and the band's first.
-2. Such pairs are verified by exact Jaccard of their shingle sets, and links between digests give components.
-3. The document with the first block of a component keeps its own. Others' are joined to runs per document, and a run grows word by word at its ends while
-   it equals what its keeper has there. Runs of over 50 words are what to remove.
+1. A seed comes with a hash of its surroundings, up to 64 words at either side. Seeds of one document only go.
+2. Surroundings that an earlier document has too are a repeated passage as they are. Of equal ones the first goes on.
+3. Each of a seed's distinct surroundings meets all those of earlier documents, in tiles if they are many, and grows word by word
+   from the seed while both are equal, then across edits of up to 11 words where 5 equal words follow. What is over 50 words long and has an exact Jaccard
+   of 0.8 or more is to remove; spans of a document that overlap are one.
 
-An unchanged block always collides, and any 51 words that two texts share hold one. A change inside a block puts it below 0.8, so the bands
-needn't be wide to find more: blocks at 0.8 or above that differ, by up to two words at an end, collide with a chance of 0.45 to 1.
+No pair is left out: the work is quadratic in the distinct surroundings of a seed. Surroundings bound what an edit can be judged by: 141 words.
 """
 
 from __future__ import annotations
@@ -20,213 +20,242 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyledger.llm import shingles as S
 from keyledger.llm.common import Scratch, arrow_map, texts_of
-from keyledger.llm.components import components
 
-N, GAP, BANDS, ROWS, NEAR = 5, 24, 2, 6, 3
-BLOCK = GAP + N - 1  # words
-#: Shifted by more, two blocks are less than 0.8 similar: 22 of 26 shingles are, 21 of 27 are not.
+N, SEED, GAP, AROUND, EDIT, TILE = 5, 13, 13, 64, 11, 2048
+RUN = SEED + GAP - 1  # words in a row that surely hold a seed
+#: Words by which an end may be off, as words beyond it may be equal by chance.
 NUDGE = 2
 LEAST = 51
 
 
 def anchors(g: np.ndarray) -> np.ndarray:
-    """Starts of blocks: of every GAP hashes in a row the least (the last, if several are), where a whole block fits."""
+    """Where seeds are: of every GAP hashes in a row the least (the last, if several are)."""
     if len(g) < GAP:
         return np.empty(0, np.int64)
     out = []
     for k in range(0, len(g) - GAP + 1, 65536):  # in pieces, for very long texts
         windows = np.lib.stride_tricks.sliding_window_view(g[k : k + 65536 + GAP - 1], GAP)
         out.append(np.unique(k + np.arange(len(windows)) + GAP - 1 - windows[:, ::-1].argmin(axis=1)))
-    at = np.unique(np.concatenate(out))
-    return at[at + GAP <= len(g)]
+    return np.unique(np.concatenate(out))
 
 
-def blocks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word positions, digests, and band keys (one column a band) of a text's blocks."""
-    g = S.shingle_hashes(words, N) if text and len(words := S.words_of(text)) >= BLOCK else np.empty(0, np.uint64)
-    at = anchors(g)
-    digests, bands = np.empty(len(at), np.int64), np.empty((len(at), BANDS), np.int64)
-    for k in range(0, len(at), 4096):
-        sets = g[at[k : k + 4096, None] + np.arange(GAP)]
-        d = np.full(len(sets), GAP, np.uint64)
-        for i in range(GAP):
-            d = S.mix(d * S._M3 + sets[:, i])
-        digests[k : k + 4096] = d.view(np.int64)
-        for b in range(BANDS):
-            p = np.full(len(sets), b + 1, np.uint64)
-            for r in range(b * ROWS, b * ROWS + ROWS):
-                p = S.mix(p * S._M3 + (sets * S._A[r] + S._B[r]).min(axis=1))
-            bands[k : k + 4096, b] = p.view(np.int64)
-    return at, digests, bands
-
-
-def _banded(docs: DataFrame) -> DataFrame:
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [blocks(t) for t in texts_of(batch.column(1))]
-        n = [len(x[0]) for x in found]
-        if not sum(n):
-            return pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32())], ["p", "d", "doc", "pos"])
-        doc, pos = np.repeat(batch.column(0).to_numpy(), n), np.concatenate([x[0] for x in found]).astype(np.int32)
-        d, p = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
-        return pa.RecordBatch.from_arrays([pa.array(p.T.reshape(-1)), pa.array(np.tile(d, BANDS)), pa.array(np.tile(doc, BANDS)), pa.array(np.tile(pos, BANDS))], ["p", "d", "doc", "pos"])
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(S._hashes.__getitem__, words), np.uint64, len(words)).astype(np.uint32)
 
-    return arrow_map(docs, cut, "p long, d long, doc long, pos int")
 
+def _context(h: np.ndarray, x: int) -> tuple[int, int, bytes]:
+    """Start, stop and words of a seed and its surroundings."""
+    lo, hi = max(0, x - AROUND), min(len(h), x + SEED + AROUND)
+    return lo, hi, h[lo:hi].tobytes()
 
-def _collisions(rows: DataFrame) -> DataFrame:
-    """One pass over rows sorted by (p, d, doc, pos): with kind 0 the rows of bands with several rows, 1 pairs of digests (d, doc), 2 rows at a partition's edges (the first and last NEAR digests)."""
-    names = ["kind", "p", "d", "doc", "pos"]
 
-    def out(kind: int, p, d, doc, pos) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p), pa.array(d), pa.array(doc), pa.array(pos.astype(np.int32))], names)
+def _name(context: bytes, before: int) -> int:
+    return xxhash.xxh3_64_intdigest(context, before) - 2**63
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, starts = None, None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = tuple(c.to_numpy() for c in batch.columns)
-            p, d, doc, pos = now if held is None else tuple(np.concatenate([x, y]) for x, y in zip(held, now, strict=True))
-            same = p[1:] == p[:-1]
-            several = np.append(same, False) | np.append(False, same)  # has a neighbour; a row held back may be given twice
-            yield out(0, p[several], d[several], doc[several], pos[several])
-            new = np.append(True, ~same | (d[1:] != d[:-1]))  # the first row of each (p, d)
-            at = np.flatnonzero(new)
-            q, e = p[at], d[at]
-            run_of = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1])
-            begin = np.repeat(run_of, np.diff(np.append(run_of, len(q))))
-            if first is not None and len(q) and first[0] == q[0]:
-                hub = np.where(begin == 0, first[1], e[begin])
-            else:
-                hub = e[begin]
-            pairs = [(hub, e, hub != e)]
-            for k in range(1, NEAR + 1):
-                if len(e) > k:
-                    pairs.append((e[:-k], e[k:], q[k:] == q[:-k]))
-            for a, b, ok in pairs:
-                if ok.any():
-                    a, b = a[ok], b[ok]
-                    yield out(1, np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a)))
-            last = begin[-1]
-            first = (q[last], hub[last])
-            if starts < NEAR:
-                yield out(2, q[:NEAR], e[:NEAR], doc[at[:NEAR]], pos[at[:NEAR]])
-                starts += len(q)
-            lead = np.union1d(at[max(0, len(at) - NEAR - 1) :], [len(p) - 1])  # the last digests, and the last row
-            held = (p[lead], d[lead], doc[lead], pos[lead])
-        if held is not None:
-            yield out(2, *held)
-
-    return rows.mapInArrow(run, "kind int, p long, d long, doc long, pos int")
 
+def blocks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word positions, digests, names of the surroundings, and starts and stops of these, of a text's seeds."""
+    words = S.words_of(text) if text else []
+    g = S.shingle_hashes(words, SEED) if len(words) >= RUN else np.empty(0, np.uint64)
+    at = anchors(g)
+    h = _hashed(words) if len(at) else None
+    found = [_context(h, x) for x in at.tolist()]
+    names = np.array([_name(c, x - lo) for x, (lo, _, c) in zip(at.tolist(), found, strict=True)], np.int64)
+    lo, hi = (np.array([f[k] for f in found], np.int32) for k in (0, 1))
+    return at, g[at].view(np.int64), names, lo, hi
 
-def _visit(docs: DataFrame, wanted: DataFrame, f, schema: str) -> DataFrame:
-    """f(doc, positions, word hashes) gives rows; wanted: doc, pos."""
-    lists = wanted.groupBy("doc").agg(F.collect_set("pos").alias("at"))  # at most a document's own blocks
-    kinds = [x.split(" ", 1) for x in schema.split(", ")]
 
-    def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in kinds]
-        for doc, text, at in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = S.words_of(text)
-            for row in f(doc, [x for x in at if x + BLOCK <= len(words)], words):
-                for c, x in zip(columns, row, strict=True):
-                    c.append(x)
-        types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-        return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, (_, k) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+def _seeds(docs: DataFrame) -> DataFrame:
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [blocks(t) for t in texts_of(batch.column(1))]
+        at, d, c, lo, hi = (np.concatenate([x[k] for x in found]) for k in range(5))
+        doc = np.repeat(batch.column(0).to_numpy(), [len(x[0]) for x in found])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d, c, doc, at.astype(np.int32), lo, hi)], ["d", "c", "doc", "pos", "lo", "hi"])
 
-    return arrow_map(docs.join(lists, "doc").select("doc", "text", "at"), walk, schema)
+    return arrow_map(docs, cut, "d long, c long, doc long, pos int, lo int, hi int")
 
 
-def _sets(doc: int, at: list[int], words: list[bytes]):
-    g = S.shingle_hashes(words, N)
-    for x in at:
-        yield doc, x, np.unique(g[x : x + GAP]).tobytes()
+def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """d, c, doc, pos, before, words of the wanted seeds (d, c, doc, pos)."""
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("pos", "d", "c")).alias("at"))  # at most a document's own seeds
 
+    def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for doc, text, at in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            h = _hashed(S.words_of(text) if text else [])
+            for x in at:
+                lo, _, context = _context(h, x["pos"])
+                if _name(context, x["pos"] - lo) == x["c"]:  # else of another text with this id
+                    rows.append((x["d"], x["c"], doc, x["pos"], x["pos"] - lo, context))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["d", "c", "doc", "pos", "before", "words"])
+
+    schema = "d long, c long, doc long, pos int, before int, words binary"
+    return arrow_map(docs.join(lists, "doc").select("doc", "text", "at"), walk, schema).dropDuplicates(["d", "c"])
+
+
+def _prefix(x: np.ndarray, y: np.ndarray, nx: int, ny: np.ndarray) -> np.ndarray:
+    """How many first words of `x` each row of `y` has too."""
+    differs = x != y
+    n = np.where(differs.any(axis=1), differs.argmax(axis=1), x.shape[0])
+    return np.minimum(n, np.minimum(nx, ny))
+
+
+def _steps(x: list[int], y: list[int], n: int) -> list[tuple[int, int]]:
+    """How far two texts, given by their shingles, go together: n words, then after each edit that 5 equal words follow."""
+    out, i, j = [(n, n)], n, n
+    while i < len(x) and j < len(y):
+        at: dict[int, int] = {}
+        for a, v in enumerate(x[i : i + EDIT + 1]):
+            at.setdefault(v, a)
+        best = min(((max(at[v], b), at[v] + b, at[v], b) for b, v in enumerate(y[j : j + EDIT + 1]) if v in at), default=None)
+        if best is None:
+            break
+        i, j = i + best[2], j + best[3]
+        while i < len(x) and j < len(y) and x[i] == y[j]:
+            i, j = i + 1, j + 1
+        i, j = i + N - 1, j + N - 1
+        out.append((i, j))
+    return out
+
+
+def _shingles(words: np.ndarray) -> np.ndarray:
+    out = np.full(max(0, len(words) - N + 1), np.uint64(N), np.uint64)
+    for i in range(N):
+        out = S.mix(out * S._M3 + words[i : i + len(out)])
+    return out
+
+
+def matches(docs: np.ndarray, before: np.ndarray, words: list[np.ndarray], num: int, den: int, least: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, words before the seed, words after it, keeper) of what repeats: rows of one seed, sorted by document, each against all of earlier documents."""
+    n = len(docs)
+    left, right = (np.zeros((n, AROUND), np.uint32) for _ in range(2))
+    after = np.array([len(w) for w in words]) - before - SEED
+    for k, w in enumerate(words):
+        left[k, : before[k]] = w[: before[k]][::-1]
+        right[k, : after[k]] = w[before[k] + SEED :]
+    earlier = np.searchsorted(docs, docs, "left")
+    lengths = before + SEED + after
+    starts = np.cumsum(lengths) - lengths
+    joined = _shingles(np.concatenate(words))
+    grams = [joined[a : a + k - N + 1].tolist() for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    sides: dict[int, tuple[list[int], list[int]]] = {}
+
+    def side(k: int) -> tuple[list[int], list[int]]:
+        if k not in sides:
+            sides[k] = grams[k][: max(0, int(before[k]) - N + 1)][::-1], grams[k][int(before[k]) + SEED :]
+        return sides[k]
+
+    rows_of: dict[int, list[int]] = {}
+    for k, g in enumerate(grams):
+        for v in set(g):
+            rows_of.setdefault(v, []).append(k)
+    for x in range(n):
+        m = int(earlier[x])
+        if not m:
+            continue
+        l, r = _prefix(left[x], left[:m], before[x], before[:m]), _prefix(right[x], right[:m], after[x], after[:m])  # noqa: E741
+        total = l + r + SEED
+        whole = total >= least
+        top = [int(l[whole].max()), int(r[whole].max()), int(docs[:m][whole].min())] if whole.any() else [-1, -1, 2**63 - 1]
+        if top[0] == before[x] and top[1] == after[x]:
+            yield x, *top
+            continue
+        # beyond an edit only a row helps that shares a shingle outside what is found, or outside what any row has as it is
+        close = total >= RUN
+        lo, hi = (top[0], top[1]) if top[0] >= 0 else (int(l[close].max()), int(r[close].max())) if close.any() else (0, 0)
+        if top[0] < 0 and lo + SEED + hi >= least:
+            lo = hi = 0  # parts of several rows
+        outside = {*grams[x][: max(0, int(before[x]) - lo)], *grams[x][int(before[x]) + SEED + hi - N + 1 :]}
+        near = {y for v in outside for y in rows_of[v] if y < m and close[y]}
+        for y in sorted(near):
+            ls, rs = (_steps(side(x)[k], side(y)[k], int(v[y])) for k, v in enumerate((l, r)))
+            spans = sorted(((a[0] + b[0] + SEED, a, b) for a in ls for b in rs if (a, b) != (ls[0], rs[0])), reverse=True)
+            for size, a, b in spans:
+                if size < least:
+                    break
+                if a[0] <= top[0] and b[0] <= top[1]:
+                    continue
+                one, two = (set(grams[z][int(before[z]) - a[k] : int(before[z]) + SEED + b[k] - N + 1]) for z, k in ((x, 0), (y, 1)))
+                both = len(one & two)
+                if den * both >= num * (len(one) + len(two) - both):
+                    top = [max(top[0], a[0]), max(top[1], b[0]), min(top[2], int(docs[y]))]
+        if top[0] >= 0:
+            yield x, *top
+
+
+def _compared(around: DataFrame, num: int, den: int, least: int) -> DataFrame:
+    """d, c, before, after, keeper of surroundings that repeat what an earlier document has. A seed with many of them is dealt out by pairs of tiles."""
+    tiles = around.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
+    rows = around.join(tiles, "d").withColumn("b", F.pmod(F.xxhash64("c"), F.col("t")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    rows = rows.select("d", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), "doc", "pos", "c", "before", "words")
+    names = ["d", "c", "before", "after", "keeper"]
 
-def _surroundings(doc: int, at: list[int], words: list[bytes]):
-    h = np.fromiter(map(S._hashes.__getitem__, words), np.uint64, len(words)).astype(np.uint32)
-    for x in at:
-        yield doc, x, h[max(0, x - LEAST) : x][::-1].tobytes(), h[x + BLOCK : x + BLOCK + LEAST].tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = np.stack([table.column(k).to_numpy() for k in ("d", "i", "j")])
+            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
+            docs, before, c = (table.column(k).to_numpy() for k in ("doc", "before", "c"))
+            words = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("words")]
+            out = [(int(key[0, a]), int(c[a + x]), p, q, keeper) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for x, p, q, keeper in matches(docs[a:b], before[a:b], words[a:b], num, den, least)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            table = now if held is None else pa.concat_tables([held, now])
+            last = np.ones(table.num_rows, bool)
+            for k in ("d", "i", "j"):
+                v = table.column(k).to_numpy()
+                last &= v == v[-1]
+            at = int(last.argmax())
+            if at:
+                yield from done(table.slice(0, at))
+            held = table.slice(at)
+        if held is not None:
+            yield from done(held)
 
-def _same(a: str, b: str) -> Column:
-    """How many of the first 4-byte words of two byte strings are equal."""
-    x, y = F.col(a), F.col(b)  # a part of bytes is cut without a walk over what is before it, as strings need
-    n = F.least(F.octet_length(x), F.octet_length(y)) / 4
-    differs = F.filter(F.sequence(F.lit(0), n.cast("int")), lambda i: F.substring(x, i * 4 + 1, F.lit(4)) != F.substring(y, i * 4 + 1, F.lit(4)))
-    return F.coalesce(F.when(F.size(differs) > 0, differs[0]), n.cast("int"))
+    return rows.repartition("d", "i", "j").sortWithinPartitions("d", "i", "j", "doc", "pos").mapInArrow(run, "d long, c long, before int, after int, keeper long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, least: int = LEAST) -> DataFrame:
     """The passages to remove: id, word_start, word_stop (positions of words split at ASCII white space, stop excluded), n_words, keeper_id, cluster.
 
-    The document that has a passage first, by (id, word position), keeps it; in others it is listed if it has `least` words or
-    more. Passages that overlap are one. What repeats within one document only is no concern of this operator. Rows with equal ids count as one document. Null, empty and short texts and rows with a null id
-    have none; an empty table gives none.
+    What an earlier document by id has is listed if it has `least` words or more; keeper: the first of those that its parts were found in, cluster:
+    the least of its seeds. Passages that overlap are one. What repeats within one document only is no concern of this operator. Rows with equal ids count
+    as one document. Null, empty and short texts and rows with a null id have none; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
-    order = ["p", "d", "doc", "pos"]
-    banded = scratch.save(_banded(docs), "banded")  # else the texts are read twice, as a range exchange samples its input
-    dealt = banded.repartitionByRange(*order).sortWithinPartitions(*order)
-    collided = scratch.save(_collisions(dealt), "collisions")
-    scratch.drop(banded)
-    edge = _collisions(collided.where("kind = 2").select(*order).distinct().repartition("p").sortWithinPartitions(*order)).where("kind < 2")
-    found = collided.where("kind < 2").unionByName(edge)
-    seen = scratch.save(found.where("kind = 0").select("d", "doc", "pos").distinct(), "seen")
-    pairs = scratch.save(found.where("kind = 1").select(F.col("d").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
-    scratch.drop(collided)
-    # exact Jaccard of blocks that aren't equal: one occurrence of each digest is looked up
-    ids = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-    firsts = seen.groupBy("d").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count(F.lit(1)).alias("n"))
-    firsts = scratch.save(firsts.select("d", "n", F.col("at.doc").alias("doc"), F.col("at.pos").alias("pos")), "firsts")
-    one = firsts.join(ids, "d", "left_semi")
-    sets = one.join(_visit(docs, one, _sets, "doc long, pos int, set binary"), ["doc", "pos"]).select("d", "set")
-
-    def test(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [S.linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        return batch.select([0, 1]).filter(pa.array(ok))
-
-    sets = scratch.save(sets, "sets")
-    both = pairs.join(sets.select(F.col("d").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("d").alias("b"), F.col("set").alias("y")), "b")
-    comp = components(arrow_map(both.select("a", "b", "x", "y"), test, "u long, v long"), scratch)
-    scratch.drop(sets)
-    scratch.drop(pairs)
-    # the first block of each component stays
-    named = firsts.join(comp.withColumnRenamed("id", "d"), "d", "left").withColumn("cluster", F.coalesce("component", "d"))
-    keepers = named.groupBy("cluster").agg(F.min(F.struct("doc", "pos")).alias("keeper"), F.sum("n").alias("n")).where("n > 1")
-    named = named.select("d", "cluster", F.struct("doc", "pos").alias("same")).join(keepers.drop("n"), "cluster")
-    again = seen.join(named, "d").where(F.col("doc") != F.col("keeper.doc"))
-    # an equal block elsewhere shows where the passage ends; linked blocks that aren't equal may lie NUDGE words apart, and give only their middle
-    equal = F.col("same.doc") != F.col("doc")
-    like, off = F.when(equal, F.col("same")).otherwise(F.col("keeper")), F.when(equal, 0).otherwise(NUDGE)
-    again = again.select("doc", "pos", "cluster", equal.alias("equal"), (F.col("pos") + off).alias("start"), (F.col("pos") + BLOCK - off).alias("stop"), like.alias("like"), F.col("keeper.doc").alias("first_doc"))
-    order = W.partitionBy("doc").orderBy("start", "stop")  # a document's own blocks
+    seeds = scratch.save(_seeds(docs), "seeds")
+    several = seeds.groupBy("d").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("d")
+    seen = scratch.save(seeds.join(several, "d", "left_semi"), "seen")
+    scratch.drop(seeds)
+    firsts = scratch.save(seen.groupBy("d", "c").agg(F.min(F.struct("doc", "pos")).alias("first")).select("d", "c", "first.doc", "first.pos"), "firsts")
+    varied = firsts.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
+    around = scratch.save(_contexts(docs, firsts.join(varied, "d", "left_semi")), "around")
+    found = scratch.save(_compared(around, num, den, least).groupBy("d", "c").agg(F.max("before").alias("before"), F.max("after").alias("after"), F.min("keeper").alias("keeper")), "found")
+    scratch.drop(around)
+    equal = seen.join(firsts.select("d", "c", F.col("doc").alias("keeper")), ["d", "c"]).where(F.col("doc") != F.col("keeper")).where(F.col("hi") - F.col("lo") >= least)
+    near = seen.join(found, ["d", "c"]).where(F.col("doc") != F.col("keeper"))
+    spans = equal.select("doc", F.col("lo").alias("start"), F.col("hi").alias("stop"), "keeper", "d").unionByName(near.select("doc", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + SEED + F.col("after")).alias("stop"), "keeper", "d"))
+    order = W.partitionBy("doc").orderBy("start", "stop")  # a document's own spans
     reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
-    runs = again.withColumn("new", (F.col("start") > F.coalesce(reach, F.lit(-1))).cast("int"))
-    entry = F.struct("start", "stop", "equal", "pos", F.col("like.doc").alias("kdoc"), F.col("like.pos").alias("kpos"), "cluster", "first_doc")
-    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc", "run").agg(F.min_by(entry, "start").alias("x"), F.max_by(entry, "stop").alias("y"))
-    first = {"start": "x.start", "equal": "x.equal", "pos": "x.pos", "kdoc": "x.kdoc", "kpos": "x.kpos", "cluster": "x.cluster", "first_doc": "x.first_doc"}
-    last = {"stop": "y.stop", "equal2": "y.equal", "pos2": "y.pos", "kdoc2": "y.kdoc", "kpos2": "y.kpos"}
-    runs = scratch.save(runs.select("doc", *[F.col(c).alias(n) for n, c in (first | last).items()]), "runs")
-    ends = [runs.select(F.col(a).alias("doc"), F.col(b).alias("pos")) for a, b in (("doc", "pos"), ("doc", "pos2"), ("kdoc", "kpos"), ("kdoc2", "kpos2"))]
-    wanted = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct()
-    around = scratch.save(_visit(docs, wanted, _surroundings, "doc long, pos int, before binary, after binary").dropDuplicates(["doc", "pos"]), "around")
-    for doc, pos, side, name in (("doc", "pos", "before", "b1"), ("kdoc", "kpos", "before", "b2"), ("doc", "pos2", "after", "a1"), ("kdoc2", "kpos2", "after", "a2")):
-        runs = runs.join(around.select(F.col("doc").alias(doc), F.col("pos").alias(pos), F.col(side).alias(name)), [doc, pos])
-    grown = runs.select("doc", (F.col("start") - F.when(F.col("equal"), _same("b1", "b2")).otherwise(0)).alias("start"), (F.col("stop") + F.when(F.col("equal2"), _same("a1", "a2")).otherwise(0)).alias("stop"), "first_doc", "cluster")
-    grown = grown.where(F.col("stop") - F.col("start") >= least)
-    reach = F.max("stop").over(W.partitionBy("doc").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
-    grown = grown.withColumn("new", (F.col("start") >= F.coalesce(reach, F.lit(-1))).cast("int"))
-    grown = grown.withColumn("run", F.sum("new").over(W.partitionBy("doc").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, 0)))
-    out = grown.groupBy("doc", "run").agg(F.min("start").alias("word_start"), F.max("stop").alias("word_stop"), F.min("first_doc").alias("keeper_id"), F.min("cluster").alias("cluster"))
+    spans = spans.withColumn("new", (F.col("start") >= F.coalesce(reach, F.lit(-1))).cast("int"))
+    spans = spans.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    out = spans.groupBy("doc", "run").agg(F.min("start").alias("word_start"), F.max("stop").alias("word_stop"), F.min("keeper").alias("keeper_id"), F.min("d").alias("cluster"))
     return out.select(F.col("doc").alias(id_col), "word_start", "word_stop", (F.col("word_stop") - F.col("word_start")).alias("n_words"), "keeper_id", "cluster")
 
 

@@ -134,5 +134,19 @@ def test_edited_passages_and_one_in_most_documents(spark):
     assert set(got) == set(range(1, 120)) and all(abs(n - 150) <= 4 for i, n in got.items() if i != 7) and got[7] >= 74
 
 
+@pytest.mark.parametrize("n", [52, 60, 75, 100])
+def test_passages_with_one_edit(spark, n):
+    rnd = random.Random(n)
+    rows, want = [], {}
+    for k, at in enumerate(range(5, n - 5, 5)):
+        p = words(rnd, n)
+        new = p[:at] + [["NEW"], [], ["NEW", p[at]]][k % 3] + p[at + 1 :]
+        lead = words(rnd, 30)
+        rows += [(2 * k, " ".join(words(rnd, 30) + p + words(rnd, 30))), (2 * k + 1, " ".join(lead + new + words(rnd, 30)))]
+        want[2 * k + 1] = (30, 30 + len(new))
+    got = {r.doc_id: (r.word_start, r.word_stop) for r in sub.repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == set(want) and all(abs(x - y) <= 1 for i in want for x, y in zip(got[i], want[i]))  # a word beyond may be equal by chance
+
+
 def test_cut():
     assert sub.cut("a b\nc  d e", [1], [3]) == "a d e" and sub.cut("a b", [0], [2]) == "" and sub.cut("a b", [5], [9]) == "a b"
