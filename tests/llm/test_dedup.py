@@ -148,5 +148,17 @@ def test_passages_with_one_edit(spark, n):
     assert set(got) == set(want) and all(abs(x - y) <= 1 for i in want for x, y in zip(got[i], want[i]))  # a word beyond may be equal by chance
 
 
+def test_blocks_at_the_bound_are_all_found(spark):
+    rnd = random.Random(6)
+    rows, want = [], set()
+    for k in range(60):  # two edits in 100 words: Jaccard 86 of 106
+        p = words(rnd, 100)
+        a, b = rnd.randrange(8, 45), rnd.randrange(55, 92)
+        rows += [(2 * k, " ".join(words(rnd, 9) + p)), (2 * k + 1, " ".join(words(rnd, 9) + p[:a] + ["new"] + p[a + 1 : b] + ["new"] + p[b + 1 :]))]
+        want.add(2 * k + 1)
+    got = {r.doc_id: r.n_words for r in sub.repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == want and min(got.values()) >= 98
+
+
 def test_cut():
     assert sub.cut("a b\nc  d e", [1], [3]) == "a d e" and sub.cut("a b", [0], [2]) == "" and sub.cut("a b", [5], [9]) == "a b"
