@@ -160,5 +160,18 @@ def test_blocks_at_the_bound_are_all_found(spark):
     assert set(got) == want and min(got.values()) >= 98
 
 
+def test_variants_of_a_crowded_text(spark, monkeypatch):
+    monkeypatch.setattr(sub, "TILE", 7)
+    rnd = random.Random(8)
+    core = words(rnd, 28)
+    tails = [words(rnd, 30) for _ in range(40)]
+    rows = [(i, " ".join(words(rnd, 30) + core + t + words(rnd, 30))) for i, t in enumerate(tails)]
+    again = list(enumerate(tails, 100))
+    rnd.shuffle(again)
+    rows += [(i, " ".join(words(rnd, 30) + core + t[:20] + ["new"] + t[21:] + words(rnd, 30))) for i, t in again]
+    got = {r.doc_id: r for r in sub.repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == set(range(100, 140)) and all(r.keeper_id == i - 100 and abs(r.n_words - 58) <= 2 for i, r in got.items())
+
+
 def test_cut():
     assert sub.cut("a b\nc  d e", [1], [3]) == "a d e" and sub.cut("a b", [0], [2]) == "" and sub.cut("a b", [5], [9]) == "a b"
