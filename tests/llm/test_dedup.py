@@ -173,5 +173,15 @@ def test_variants_of_a_crowded_text(spark, monkeypatch):
     assert set(got) == set(range(100, 140)) and all(r.keeper_id == i - 100 and abs(r.n_words - 58) <= 2 for i, r in got.items())
 
 
+def test_first_holder_of_a_part_hides_no_passage(spark):
+    rnd = random.Random(9)
+    for n in (51, 60, 75):
+        for part in (slice(0, 28), slice(n - 28, n)):
+            p = words(rnd, n)
+            rows = [(1, " ".join(words(rnd, 40) + p[part] + words(rnd, 40)))] + [(i, " ".join(words(rnd, 40) + p + words(rnd, 40))) for i in (5, 9)]
+            got = [(r.doc_id, r.word_start, r.word_stop, r.keeper_id) for r in sub.repeated_passages(frame(spark, rows)).collect()]
+            assert len(got) == 1 and got[0][0] == 9 and got[0][3] == 5 and abs(got[0][1] - 40) <= 1 and abs(got[0][2] - 40 - n) <= 1
+
+
 def test_cut():
     assert sub.cut("a b\nc  d e", [1], [3]) == "a d e" and sub.cut("a b", [0], [2]) == "" and sub.cut("a b", [5], [9]) == "a b"
