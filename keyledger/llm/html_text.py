@@ -22,7 +22,8 @@ from keyledger.llm.common import arrow_map, texts_of
 
 #: HTML's own names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title textarea svg iframe object select".split())
+RAW = frozenset("script style noscript template title textarea iframe".split())
+SKIP = frozenset("svg object select".split())  # their text is none of the page's, but they nest and may be empty
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?i:({"|".join(sorted(RAW))}))(?=[\s/>])[^>]*>(?:.*?</(?i:\1)[^>]*>|.*\Z)""" + r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -47,7 +48,7 @@ def parse(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple, int]] = []  # tag, path down to it, links that it opened
     path: tuple = ()
     buffer: list[str] = []
-    linked = anchor = 0
+    linked = anchor = hidden = 0
 
     def flush() -> None:
         nonlocal linked
@@ -60,6 +61,8 @@ def parse(page: str | None) -> list[Block]:
     for m in _TOKEN.finditer(page):
         _, end1, tag1, attrs1, end2, tag2, attrs2, text = m.groups()
         if text is not None:
+            if hidden:
+                continue
             text = html_lib.unescape(text) if "&" in text else text
             buffer.append(text)
             if anchor:
@@ -81,6 +84,7 @@ def parse(page: str | None) -> list[Block]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     anchor -= sum(x[2] for x in stack[k:])
+                    hidden -= sum(x[0] in SKIP for x in stack[k:])
                     del stack[k:]
                     path = stack[-1][1] if stack else ()
                     break
@@ -92,6 +96,7 @@ def parse(page: str | None) -> list[Block]:
                 over = stack[k][0]
                 if over == "p" or over == tag and tag in NO_NEST:
                     anchor -= sum(x[2] for x in stack[k:])
+                    hidden -= sum(x[0] in SKIP for x in stack[k:])
                     del stack[k:]
                     path = stack[-1][1] if stack else ()
                     break
@@ -101,6 +106,7 @@ def parse(page: str | None) -> list[Block]:
             path += ((tag, names),)
         stack.append((tag, path, tag == "a"))
         anchor += tag == "a"
+        hidden += tag in SKIP
     flush()
     return out
 

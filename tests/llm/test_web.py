@@ -122,6 +122,13 @@ def test_viterbi_equals_brute_force(field):
         assert abs(value(field.decode(blocks)) - max(map(value, itertools.product((0, 1), repeat=len(blocks))))) < 1e-9
 
 
+def test_elements_without_text_end_where_they_do():
+    texts = lambda page: [b.text for b in H.parse(page)]
+    assert texts('<p>one <svg class="i"/> two</p><p>three</p>') == ["one", "two", "three"]
+    assert texts("<p>a<svg><g><svg>x</svg>y</g></svg>b</p><object>x<object>y</object>z</object><p>c<select><option>q</select></p>d") == ["a", "b", "c", "d"]
+    assert texts("<div><p>a</p><svg><path d='m'></div><p>b</p>") == ["a", "b"]
+
+
 def test_extract(spark, field):
     page = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></ul></nav>
     <div class="cookie-banner">We use cookies to improve things.</div><article><h1>Big&nbsp;&amp; title</h1><p>First  <b>bold</b><br>para, with text &lt;here&gt;.
