@@ -19,6 +19,7 @@ from keyledger.llm import shingles as S
 from keyledger.llm.common import arrow_map, texts_of
 
 N, MATCH, LEAST, LEAST_WORDS = 3, 2, 0.5, 8
+SHORT = 0.75  # similarity that is enough for an item of 8 words or more, if 8 words' score would be more
 BLOCK_BYTES = 16_000_000
 RARE = 2e-7  # chance of a seed per word of the corpus
 _MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»“”„‘’–—…·"
@@ -144,7 +145,7 @@ class Index:
                     _, back = align(item[::-1], window[:end][::-1])
                     best = (score, lo + end - back, lo + end)
             similarity = best[0] / (MATCH * m)
-            if similarity >= least and best[0] >= MATCH * min(LEAST_WORDS, m):
+            if similarity >= least and best[0] >= (MATCH * m if m < LEAST_WORDS else min(MATCH * LEAST_WORDS, SHORT * MATCH * m)):
                 out.append((number, best[0], similarity, best[1], best[2]))
         return out
 
@@ -208,8 +209,8 @@ def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, rare: float = RARE) -> DataFrame:
     """id, item_id, score, similarity, word_start, word_stop: the test items that texts hold, the best place of each.
 
-    similarity: score of the alignment over that of a full match; `least` or more counts, with 8 words' worth of score at least (all words of a
-    shorter item). Words are split at ASCII white space, without marks around them, case folded; positions count such words. Null
+    similarity: score of the alignment over that of a full match; `least` or more counts, with 8 words' worth of score or 0.75 of a full match at least (all words of an item
+    below 8 words). Words are split at ASCII white space, without marks around them, case folded; positions count such words. Null
     and empty texts and items hold and find nothing. Repeated rows are judged each, null ids stay. Empty tables give no rows.
     """
     slim = _slim(docs, id_col, text_col)

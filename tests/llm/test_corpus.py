@@ -61,6 +61,15 @@ def test_leaks_equal_brute_force(spark):
     assert D.leaks(table, none).collect() == [] and D.remove_leaks(table, none).count() == 64 and D.leaks(spark.createDataFrame([], table.schema), tests).collect() == []
 
 
+@pytest.mark.parametrize("m", [8, 9, 10, 12])
+def test_short_items_with_a_word_changed(m):
+    item = [f"w{k}" for k in range(m)]
+    index = D.Index([(0, " ".join(item))])
+    index.seed(np.zeros(m, np.int64), 1000, D.RARE)
+    text = ["x"] * 9 + item[: m // 2] + ["new"] + item[m // 2 + 1 :] + ["x"] * 9
+    assert [r[0] for r in index.find(D.Vocabulary(index.numbers).read(" ".join(text)), D.LEAST)] == [0]
+
+
 def test_test_sets_in_blocks(spark, monkeypatch):
     rnd = random.Random(3)
     items = [(k, " ".join(words(rnd, 30))) for k in range(20)]
