@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,9 +15,36 @@ from keyledger.llm.url_filter import build_filter, may_contain
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; where none is named, one in the warehouse, which executors share too."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/keyledger-shared").rstrip("/")
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/keyledger-shared"
+
+
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between batches and tasks: one thing at a time, of the operator that runs now. Workers live on from stage to
+    stage, so what an earlier operator left goes when another one takes the place, and its memory goes back to the system."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+        _held[key] = make()
+    return _held[key]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 class Scratch:
@@ -36,9 +65,10 @@ class Scratch:
         saved._scratch_path = path
         return saved
 
-    def drop(self, df: DataFrame) -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

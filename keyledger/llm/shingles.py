@@ -12,9 +12,6 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
 
-_words: dict[bytes, int] = {}
-
-
 class _Hashes(dict):
     """Word hashes of a worker; forgotten when there are many, as they cost little to make again."""
 

@@ -1,16 +1,19 @@
 """Substring dedup: passages that repeat across documents, wherever in a line they stand, unchanged or edited.
 
-Passages begin and end anywhere, so documents are compared from seeds: 13-word shingles picked by MinHash, the least hash of every
-13 in a row. Two texts that share 25 words in a row share a seed, wherever these stand. A passage of 51 words or more at a Jaccard of 0.8 (5-word shingles)
-to another holds such a run: an edit costs each side 4 shingles at least, so there are too few edits to cut it into shorter pieces.
-
-1. A seed comes with a hash of its surroundings, up to 64 words at either side. Seeds of one document only go.
-2. Surroundings that an earlier document has too are a repeated passage as they are. Of equal ones the first goes on.
-3. Each of a seed's distinct surroundings meets all those of earlier documents, in tiles if they are many, and grows word by word
-   from the seed while both are equal, then across edits of up to 11 words where 5 equal words follow. What is over 50 words long and has an exact Jaccard
-   of 0.8 or more is to remove; spans of a document that overlap are one.
-
-No pair is left out: the work is quadratic in the distinct surroundings of a seed. Surroundings bound what an edit can be judged by: 141 words.
+Passages begin and end anywhere, so a paragraph here is every run of 25 words. Its MinHash is the least hash of its 13-word shingles, which is
+its one band; neighbouring paragraphs mostly share it, so that a text has a band every 7 words or so. Paragraphs that are equal always
+collide. A passage of 51 words or more at a Jaccard of 0.8 (5-word shingles) to another holds such a pair: an edit costs each side 4 shingles at
+least, so there are too few edits to cut it into shorter pieces. So the recall of the bands is 1 on what they are made for.
+
+1. A band comes with a hash of its surroundings, up to 64 words at either side. Bands of one document only go.
+2. Surroundings that an earlier document has too are a repeated passage as they are: equal ones are one class, which its first document keeps.
+3. Classes that collide in a band are verified: they grow word by word from the band's shingle while both are equal, then across edits of up to
+   11 words where 5 equal words follow. What is over 50 words long and has an exact Jaccard of 0.8 or more is to remove; spans of a document
+   that overlap are one.
+4. Removals that share a verified band are a cluster: the connected component of their bands.
+
+No colliding pair is left out, and none is written: a band's classes meet in a task, in tiles if they are many, as arrays. Surroundings bound
+what an edit can be judged by: 141 words.
 """
 
 from __future__ import annotations
@@ -20,92 +23,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyledger.llm import shingles as S
-from keyledger.llm.common import Scratch, arrow_map, texts_of
+from keyledger.llm.common import Scratch, among, arrow_map, fresh, texts_of
+from keyledger.llm.components import components
 
 N, SEED, GAP, AROUND, EDIT, TILE = 5, 13, 13, 64, 11, 2048
-RUN = SEED + GAP - 1  # words in a row that surely hold a seed
-#: Words by which an end may be off, as words beyond it may be equal by chance.
-NUDGE = 2
+RUN = SEED + GAP - 1  # words of a paragraph
 LEAST = 51
+#: Rows and pairs of classes that are compared at a time.
+ROWS, PAIRS = 4096, 32_768
+
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones((2, 1), _U)
+
+
+def _scales(n: int) -> np.ndarray:
+    """Powers of the base up to n, and of its inverse."""
+    global _powers
+    if _powers.shape[1] > n:
+        return _powers
+    both = np.array([[_BASE], [pow(_BASE, -1, 2**64)]], _U)
+    out = np.cumprod(np.hstack([np.ones((2, 1), _U), np.repeat(both, n, axis=1)]), axis=1, dtype=_U)
+    if n < 1 << 20:  # longer texts have their own each time
+        _powers = out
+    return out
 
 
-def anchors(g: np.ndarray) -> np.ndarray:
-    """Where seeds are: of every GAP hashes in a row the least (the last, if several are)."""
-    if len(g) < GAP:
-        return np.empty(0, np.int64)
-    out = []
-    for k in range(0, len(g) - GAP + 1, 65536):  # in pieces, for very long texts
-        windows = np.lib.stride_tricks.sliding_window_view(g[k : k + 65536 + GAP - 1], GAP)
-        out.append(np.unique(k + np.arange(len(windows)) + GAP - 1 - windows[:, ::-1].argmin(axis=1)))
-    return np.unique(np.concatenate(out))
-
-
-def _hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(S._hashes.__getitem__, words), np.uint64, len(words)).astype(np.uint32)
+class Words:
+    """Hashes of a text's words, and of any run of them at the cost of a subtraction."""
 
+    def __init__(self, words: list[bytes]):
+        n = len(words)
+        self.h = np.fromiter(map(S._hashes.__getitem__, words), _U, n)
+        up, self._down = _scales(n)
+        self._sums = np.concatenate([np.zeros(1, _U), np.cumsum(self.h * up[:n], dtype=_U)])
 
-def _context(h: np.ndarray, x: int) -> tuple[int, int, bytes]:
-    """Start, stop and words of a seed and its surroundings."""
-    lo, hi = max(0, x - AROUND), min(len(h), x + SEED + AROUND)
-    return lo, hi, h[lo:hi].tobytes()
+    def runs(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return S.mix((self._sums[hi] - self._sums[lo]) * self._down[lo] + (hi - lo).astype(_U) * S._M3)
 
 
-def _name(context: bytes, before: int) -> int:
-    return xxhash.xxh3_64_intdigest(context, before) - 2**63
+def _each(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
+    """The least or most of every n in a row."""
+    k = 1
+    while 2 * k <= n:
+        x = f(x[:-k], x[k:])
+        k *= 2
+    return f(x[: len(x) - (n - k)], x[n - k :]) if k < n else x
 
 
-def blocks(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word positions, digests, names of the surroundings, and starts and stops of these, of a text's seeds."""
-    words = S.words_of(text) if text else []
-    g = S.shingle_hashes(words, SEED) if len(words) >= RUN else np.empty(0, np.uint64)
+def anchors(g: np.ndarray) -> np.ndarray:
+    """Where bands are: positions that hold the least of some GAP hashes in a row. Of equal hashes close together one every GAP or so."""
+    if len(g) < GAP:
+        return np.empty(0, np.int64)
+    edge = np.zeros(GAP - 1, g.dtype)
+    at = np.flatnonzero(_each(np.concatenate([edge, _each(g, GAP, np.minimum), edge]), GAP, np.maximum) == g)
+    new = np.append(True, (g[at[1:]] != g[at[:-1]]) | (np.diff(at) >= GAP))
+    part = (at - np.maximum.accumulate(np.where(new, at, 0))) // GAP
+    return at[new | np.append(True, part[1:] != part[:-1])]
+
+
+def blocks(text: str | None) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's words, and of its bands: positions, hashes, classes (hash of the surroundings), and words before and after the band's shingle."""
+    found = S.words_of(text) if text else []
+    words = Words(found if len(found) >= RUN else [])
+    n = len(words.h)
+    i = np.arange(max(0, n - SEED + 1))
+    g = words.runs(i, i + SEED)
     at = anchors(g)
-    h = _hashed(words) if len(at) else None
-    found = [_context(h, x) for x in at.tolist()]
-    names = np.array([_name(c, x - lo) for x, (lo, _, c) in zip(at.tolist(), found, strict=True)], np.int64)
-    lo, hi = (np.array([f[k] for f in found], np.int32) for k in (0, 1))
-    return at, g[at].view(np.int64), names, lo, hi
-
+    before, after = np.minimum(at, AROUND), np.minimum(n - at - SEED, AROUND)
+    classes = words.runs(at - before, at + SEED + after) + S.mix(before.astype(_U))
+    return words, at, g[at].view(np.int64), classes.view(np.int64), before, after
+
+
+def _bands(docs: DataFrame) -> DataFrame:
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
+            found = [blocks(t)[1:] for t in texts_of(part.column(2))]
+            at, d, c, before, after = (np.concatenate([x[k] for x in found]) for k in range(5))
+            times = [len(x[0]) for x in found]
+            doc, t = (np.repeat(part.column(k).to_numpy(), times) for k in (0, 1))
+            columns = (d, c, doc, t, at.astype(np.int32), before.astype(np.int8), after.astype(np.int8))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["d", "c", "doc", "t", "pos", "before", "after"])
+
+    return arrow_map(docs, cut, "d long, c long, doc long, t long, pos int, before byte, after byte")
+
+
+def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """d, i, j, c, doc, pos, side, before, words of the wanted classes (c, doc, tiles): a row for each pair of tiles that a class is in, i <= j, side: whether it is of tile j."""
+    lists = wanted.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("c", "tiles"))).alias("x"))  # at most a document's own bands
+    lists = lists.select("doc", F.col("x.c").alias("c"), F.col("x.tiles").alias("tiles"))
+
+    def walk(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+        names = ["d", "i", "j", "c", "doc", "pos", "side", "before", "words"]
+        rows: list[tuple] = []
+        for k in range(batch.num_rows):
+            doc, asked, tiles = batch.column(0)[k].as_py(), batch.column(2)[k].values.to_numpy(), batch.column(3)[k].values.to_numpy()
+            words, at, d, c, before, after = blocks(batch.column(1)[k].as_py())
+            place = np.searchsorted(asked, c)
+            place[place == len(asked)] = 0
+            mine = np.flatnonzero(asked[place] == c)
+            mine = mine[np.unique(c[mine], return_index=True)[1]]
+            h = words.h.astype(np.uint32)
+            for x in mine.tolist():
+                p, b, n = int(at[x]), int(before[x]), int(tiles[place[x]])
+                around = h[p - b : p + SEED + int(after[x])].tobytes()
+                own = int(c[x]) % n
+                for other in range(n):
+                    rows.append((int(d[x]), min(own, other), max(own, other), int(c[x]), doc, p, own > other, b, around))
+            if len(rows) >= 8192:
+                yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], kind) for m, kind in enumerate(kinds)], names)
+                rows = []
+        yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], kind) for m, kind in enumerate(kinds)], names)
+
+    schema = "d long, i int, j int, c long, doc long, pos int, side boolean, before int, words binary"
+    return arrow_map(docs.join(lists, "doc").select("doc", "text", "c", "tiles"), walk, schema)
 
-def _seeds(docs: DataFrame) -> DataFrame:
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [blocks(t) for t in texts_of(batch.column(1))]
-        at, d, c, lo, hi = (np.concatenate([x[k] for x in found]) for k in range(5))
-        doc = np.repeat(batch.column(0).to_numpy(), [len(x[0]) for x in found])
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (d, c, doc, at.astype(np.int32), lo, hi)], ["d", "c", "doc", "pos", "lo", "hi"])
 
-    return arrow_map(docs, cut, "d long, c long, doc long, pos int, lo int, hi int")
-
-
-def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d, c, doc, pos, before, words of the wanted seeds (d, c, doc, pos)."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("pos", "d", "c")).alias("at"))  # at most a document's own seeds
-
-    def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for doc, text, at in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            h = _hashed(S.words_of(text) if text else [])
-            for x in at:
-                lo, _, context = _context(h, x["pos"])
-                if _name(context, x["pos"] - lo) == x["c"]:  # else of another text with this id
-                    rows.append((x["d"], x["c"], doc, x["pos"], x["pos"] - lo, context))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["d", "c", "doc", "pos", "before", "words"])
-
-    schema = "d long, c long, doc long, pos int, before int, words binary"
-    return arrow_map(docs.join(lists, "doc").select("doc", "text", "at"), walk, schema).dropDuplicates(["d", "c"])
-
-
-def _prefix(x: np.ndarray, y: np.ndarray, nx: int, ny: np.ndarray) -> np.ndarray:
-    """How many first words of `x` each row of `y` has too."""
-    differs = x != y
-    n = np.where(differs.any(axis=1), differs.argmax(axis=1), x.shape[0])
-    return np.minimum(n, np.minimum(nx, ny))
+def _shingles(words: np.ndarray) -> np.ndarray:
+    out = np.full(max(0, len(words) - N + 1), _U(N), _U)
+    for i in range(N):
+        out = S.mix(out * S._M3 + words[i : i + len(out)])
+    return out
 
 
 def _steps(x: list[int], y: list[int], n: int) -> list[tuple[int, int]]:
@@ -126,136 +171,226 @@ def _steps(x: list[int], y: list[int], n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    out = np.full(max(0, len(words) - N + 1), np.uint64(N), np.uint64)
-    for i in range(N):
-        out = S.mix(out * S._M3 + words[i : i + len(out)])
-    return out
-
-
-def matches(docs: np.ndarray, before: np.ndarray, words: list[np.ndarray], num: int, den: int, least: int) -> Iterator[tuple[int, int, int, int]]:
-    """(row, words before the seed, words after it, keeper) of what repeats: rows of one seed, sorted by document, each against all of earlier documents."""
-    n = len(docs)
-    left, right = (np.zeros((n, AROUND), np.uint32) for _ in range(2))
-    after = np.array([len(w) for w in words]) - before - SEED
-    for k, w in enumerate(words):
-        left[k, : before[k]] = w[: before[k]][::-1]
-        right[k, : after[k]] = w[before[k] + SEED :]
-    earlier = np.searchsorted(docs, docs, "left")
-    lengths = before + SEED + after
-    starts = np.cumsum(lengths) - lengths
-    joined = _shingles(np.concatenate(words))
-    grams = [joined[a : a + k - N + 1].tolist() for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
-    sides: dict[int, tuple[list[int], list[int]]] = {}
-
-    def side(k: int) -> tuple[list[int], list[int]]:
-        if k not in sides:
-            sides[k] = grams[k][: max(0, int(before[k]) - N + 1)][::-1], grams[k][int(before[k]) + SEED :]
-        return sides[k]
-
-    rows_of: dict[int, list[int]] = {}
-    for k, g in enumerate(grams):
-        for v in set(g):
-            rows_of.setdefault(v, []).append(k)
-    for x in range(n):
-        m = int(earlier[x])
-        if not m:
-            continue
-        l, r = _prefix(left[x], left[:m], before[x], before[:m]), _prefix(right[x], right[:m], after[x], after[:m])  # noqa: E741
-        total = l + r + SEED
-        whole = total >= least
-        top = [int(l[whole].max()), int(r[whole].max()), int(docs[:m][whole].min())] if whole.any() else [-1, -1, 2**63 - 1]
-        if top[0] == before[x] and top[1] == after[x]:
-            yield x, *top
-            continue
-        # beyond an edit only a row helps that shares a shingle outside what is found, or outside what any row has as it is
-        close = total >= RUN
-        lo, hi = (top[0], top[1]) if top[0] >= 0 else (int(l[close].max()), int(r[close].max())) if close.any() else (0, 0)
-        if top[0] < 0 and lo + SEED + hi >= least:
-            lo = hi = 0  # parts of several rows
-        outside = {*grams[x][: max(0, int(before[x]) - lo)], *grams[x][int(before[x]) + SEED + hi - N + 1 :]}
-        near = {y for v in outside for y in rows_of[v] if y < m and close[y]}
-        for y in sorted(near):
-            ls, rs = (_steps(side(x)[k], side(y)[k], int(v[y])) for k, v in enumerate((l, r)))
-            spans = sorted(((a[0] + b[0] + SEED, a, b) for a in ls for b in rs if (a, b) != (ls[0], rs[0])), reverse=True)
-            for size, a, b in spans:
+class Classes:
+    """Classes of some bands, those of a band in a row and sorted by document, as arrays: words at either side, outwards, and the shingles there."""
+
+    def __init__(self, docs: np.ndarray, before: np.ndarray, words: list[np.ndarray]):
+        self.docs, self.before = docs, before.astype(np.int64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.after = sizes - self.before - SEED
+        flat = np.concatenate(words)
+        self.starts = np.cumsum(sizes) - sizes
+        middle = self.starts + self.before
+        out = np.arange(AROUND)
+        self.sides = []
+        grams = _shingles(flat)
+        for limit, begin, sign, shift in ((self.before, middle - 1, -1, N - 1), (self.after, middle + SEED, 1, 0)):
+            at = np.clip(begin[:, None] + sign * out, 0, len(flat) - 1)
+            h = np.where(out < limit[:, None], flat[at], 0)
+            # a last column that always differs ends every comparison
+            g = np.where(out <= limit[:, None] - N, grams[np.clip(at - shift, 0, max(0, len(grams) - 1))], 0) if len(grams) else np.zeros(at.shape, _U)
+            self.sides.append((limit, np.hstack([h, np.zeros((len(h), 1), h.dtype)]), np.hstack([g, np.zeros((len(g), EDIT + 1), g.dtype)])))
+        self._grams, self._flat = grams, flat
+        self._lists: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        self._sets: dict[int, frozenset] = {}
+
+    def equal(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many words next to the band's shingle classes x and y share, before and after."""
+        out = []
+        for limit, h, _ in self.sides:
+            differs = h[x] != h[y]
+            differs[:, -1] = True
+            out.append(np.minimum(differs.argmax(axis=1), np.minimum(limit[x], limit[y])))
+        return out[0], out[1]
+
+    def bridged(self, x: np.ndarray, y: np.ndarray, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether at either side 5 equal words follow an edit behind what is equal."""
+        ok = np.zeros(len(x), bool)
+        reach = np.arange(EDIT + 1)
+        for (_, _, g), n in zip(self.sides, far, strict=True):
+            a, b = g[x[:, None], n[:, None] + reach], g[y[:, None], n[:, None] + reach]
+            for k in range(EDIT + 1):
+                ok |= ((a == b[:, k : k + 1]) & (a != 0)).any(axis=1)
+        return ok
+
+    def lists(self, k: int) -> tuple[list[int], list[int], list[int]]:
+        """Shingles of a class: before its band's shingle, outwards; after it; all in order."""
+        if k not in self._lists:
+            b, a, s = int(self.before[k]), int(self.after[k]), int(self.starts[k])
+            whole = self._grams[s : s + b + SEED + a - N + 1].tolist()
+            self._lists[k] = whole[: max(0, b - N + 1)][::-1], whole[b + SEED :], whole
+            self._sets[k] = frozenset(whole)
+        return self._lists[k]
+
+    def grown(self, x: int, ys: list[int], far: list[tuple[int, int]], top: list[int], num: int, den: int, least: int) -> None:
+        """Takes what classes `ys`, nearest first, have of x across edits into top: words before, after, keeper."""
+        b, a = int(self.before[x]), int(self.after[x])
+        mine = self.lists(x)
+        outside: set[int] | None = None
+        for y, near in zip(ys, far, strict=True):
+            if top[0] == b and top[1] == a:
+                return
+            theirs = self.lists(y)
+            if top[0] >= 0:  # only a class helps that shares a shingle outside what is found
+                if outside is None:
+                    outside = {*mine[2][: b - top[0]], *mine[2][max(0, b + SEED + top[1] - N + 1) :]}
+                if outside.isdisjoint(self._sets[y]):
+                    continue
+            ls, rs = (_steps(mine[k], theirs[k], near[k]) for k in (0, 1))
+            spans = sorted(((p[0] + q[0] + SEED, p, q) for p in ls for q in rs if (p, q) != (ls[0], rs[0])), reverse=True)
+            for size, p, q in spans:
                 if size < least:
                     break
-                if a[0] <= top[0] and b[0] <= top[1]:
+                if p[0] <= top[0] and q[0] <= top[1]:
                     continue
-                one, two = (set(grams[z][int(before[z]) - a[k] : int(before[z]) + SEED + b[k] - N + 1]) for z, k in ((x, 0), (y, 1)))
+                one = set(mine[2][b - p[0] : b + SEED + q[0] - N + 1])
+                c = int(self.before[y])
+                two = set(theirs[2][c - p[1] : c + SEED + q[1] - N + 1])
                 both = len(one & two)
                 if den * both >= num * (len(one) + len(two) - both):
-                    top = [max(top[0], a[0]), max(top[1], b[0]), min(top[2], int(docs[y]))]
-        if top[0] >= 0:
-            yield x, *top
+                    top[:] = max(top[0], p[0]), max(top[1], q[0]), min(top[2], int(self.docs[y]))
+                    outside = None
+
+
+def matches(bands: np.ndarray, docs: np.ndarray, before: np.ndarray, words: list[np.ndarray], num: int, den: int, least: int, side: np.ndarray | None = None, cross: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(row, words before, words after, keeper) of what repeats: rows sorted by band and document, each against those of its band and earlier documents.
+
+    side, cross: where rows are of a pair of different tiles, those of one side meet those of the other only.
+    """
+    all_ = Classes(docs, before, words)
+    n = len(docs)
+    starts = np.append(True, bands[1:] != bands[:-1])
+    begin = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+    same = np.append(False, (docs[1:] == docs[:-1]) & ~starts[1:])
+    stop = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # where the row's own document begins
+    many = stop - begin
+    at = 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), PAIRS, "right")) + at)
+        m = many[at:upto]
+        x = np.repeat(np.arange(at, upto), m)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + begin[x]
+        at = upto
+        if side is not None:
+            ok = ~cross[x] | (side[x] != side[y])
+            x, y = x[ok], y[ok]
+        if not len(x):
+            continue
+        l, r = all_.equal(x, y)  # noqa: E741
+        size = l + r + SEED
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        whole = size >= least
+        top = np.stack([np.maximum.reduceat(np.where(whole, v, -1), first) for v in (l, r)] + [np.minimum.reduceat(np.where(whole, docs[y], 2**63 - 1), first)], axis=1)
+        rows = x[first]
+        open_ = (top[:, 0] < all_.before[rows]) | (top[:, 1] < all_.after[rows])
+        left = np.flatnonzero((size >= RUN) & np.repeat(open_, np.diff(np.append(first, len(x)))))
+        left = left[all_.bridged(x[left], y[left], (l[left], r[left]))]
+        left = left[np.lexsort((y[left], -size[left], x[left]))]
+        found = {}
+        for part in np.split(left, np.flatnonzero(np.diff(x[left])) + 1) if len(left) else ():
+            row = int(x[part[0]])
+            best = top[np.searchsorted(rows, row)].tolist()
+            all_.grown(row, y[part].tolist(), list(zip(l[part].tolist(), r[part].tolist(), strict=True)), best, num, den, least)
+            found[row] = best
+        for row, best in zip(rows.tolist(), top.tolist(), strict=True):
+            best = found.get(row, best)
+            if best[0] >= 0:
+                yield row, *best
 
 
 def _compared(around: DataFrame, num: int, den: int, least: int) -> DataFrame:
-    """d, c, before, after, keeper of surroundings that repeat what an earlier document has. A seed with many of them is dealt out by pairs of tiles."""
-    tiles = around.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("t"))
-    rows = around.join(tiles, "d").withColumn("b", F.pmod(F.xxhash64("c"), F.col("t")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    rows = rows.select("d", F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), "doc", "pos", "c", "before", "words")
-    names = ["d", "c", "before", "after", "keeper"]
+    """c, before, after, keeper of classes that repeat what an earlier document has."""
+    names = ["c", "before", "after", "keeper"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            key = np.stack([table.column(k).to_numpy() for k in ("d", "i", "j")])
-            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [table.num_rows]])
-            docs, before, c = (table.column(k).to_numpy() for k in ("doc", "before", "c"))
+            d, i, j, c, docs, before = (table.column(k).to_numpy() for k in ("d", "i", "j", "c", "doc", "before"))
+            side = table.column("side").to_numpy()
             words = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("words")]
-            out = [(int(key[0, a]), int(c[a + x]), p, q, keeper) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for x, p, q, keeper in matches(docs[a:b], before[a:b], words[a:b], num, den, least)]
+            bands = np.cumsum(np.append(False, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            out = list(matches(bands, docs, before, words, num, den, least, side, i != j))
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                rows = [(int(c[x]), *rest) for x, *rest in out]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            table = now if held is None else pa.concat_tables([held, now])
-            last = np.ones(table.num_rows, bool)
+        def last_cut(table: pa.Table) -> int:
+            """Where the last key's rows begin."""
+            ends = np.ones(table.num_rows, bool)
             for k in ("d", "i", "j"):
                 v = table.column(k).to_numpy()
-                last &= v == v[-1]
-            at = int(last.argmax())
-            if at:
-                yield from done(table.slice(0, at))
-            held = table.slice(at)
-        if held is not None:
-            yield from done(held)
+                ends &= v == v[-1]
+            return int(ends.argmax())
 
-    return rows.repartition("d", "i", "j").sortWithinPartitions("d", "i", "j", "doc", "pos").mapInArrow(run, "d long, c long, before int, after int, keeper long")
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                held.append(batch.slice(k, ROWS))
+                table = pa.Table.from_batches(held)
+                at = last_cut(table)
+                if at:
+                    yield from done(table.slice(0, at))
+                    held = table.slice(at).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return around.repartition("d", "i", "j").sortWithinPartitions("d", "i", "j", "doc").mapInArrow(run, "c long, before int, after int, keeper long")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, text, and t, which tells rows of one id apart."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("t")).where("doc is not null")
+
+
+def _spans(docs: DataFrame, num: int, den: int, least: int, scratch: Scratch) -> DataFrame:
+    """doc, t, d, start, stop, keeper of all that repeats, spans of a document not yet joined."""
+    bands = scratch.save(_bands(docs.select("doc", "t", "text")), "bands")
+    several = bands.groupBy("d").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("d")
+    seen = scratch.save(among(bands, scratch.save(several, "several"), "d"), "seen")
+    scratch.drop(bands)
+    classes = scratch.save(seen.groupBy("c").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.min("d").alias("d")), "classes")
+    varied = classes.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "tiles")
+    around = _surroundings(docs, classes.join(varied, "d").select("c", "doc", "tiles"))
+    found = _compared(around, num, den, least).groupBy("c").agg(F.max("before").alias("more"), F.max("after").alias("beyond"), F.min("keeper").alias("keeper"))
+    # a class's later documents have all of it in the first; of the first's, a part may be in other classes' documents
+    known = classes.join(scratch.save(found, "found"), "c", "left").where("doc < last or keeper is not null").select("c", F.col("doc").alias("first"), "more", "beyond", "keeper")
+    rows = seen.join(known, "c")
+    whole = (F.col("doc") > F.col("first")) & (F.col("before") + SEED + F.col("after") >= least)
+    rows = rows.where(whole | F.col("keeper").isNotNull())
+    start = F.col("pos") - F.when(whole, F.col("before").cast("int")).otherwise(F.col("more"))
+    stop = F.col("pos") + SEED + F.when(whole, F.col("after").cast("int")).otherwise(F.col("beyond"))
+    keeper = F.when(whole, F.least("first", "keeper")).otherwise(F.col("keeper"))
+    spans = scratch.save(rows.select("doc", "t", "d", start.alias("start"), stop.alias("stop"), keeper.alias("keeper")), "spans")
+    scratch.drop(seen)
+    return spans
+
+
+def _passages(docs: DataFrame, num: int, den: int, least: int) -> DataFrame:
+    """doc, t, word_start, word_stop, keeper_id, cluster. docs: doc, text, t."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    order = W.partitionBy("doc", "t").orderBy("start", "stop")  # a document's own spans
+    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    spans = _spans(docs, num, den, least, scratch).withColumn("new", (F.col("start") >= F.coalesce(reach, F.lit(-1))).cast("int"))
+    runs = spans.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    own = W.partitionBy("doc", "t", "run")
+    runs = scratch.save(runs.withColumn("m", F.min("d").over(own)), "runs")
+    out = runs.groupBy("doc", "t", "run", "m").agg(F.min("start").alias("word_start"), F.max("stop").alias("word_stop"), F.min("keeper").alias("keeper_id"))
+    clusters = components(runs.select(F.col("d").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), scratch)
+    out = out.join(clusters.withColumnRenamed("id", "m"), "m", "left")
+    return out.select("doc", "t", "word_start", "word_stop", "keeper_id", F.coalesce("component", "m").alias("cluster"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, least: int = LEAST) -> DataFrame:
     """The passages to remove: id, word_start, word_stop (positions of words split at ASCII white space, stop excluded), n_words, keeper_id, cluster.
 
     What an earlier document by id has is listed if it has `least` words or more; keeper: the first of those that its parts were found in, cluster:
-    the least of its seeds. Passages that overlap are one. What repeats within one document only is no concern of this operator. Rows with equal ids count
-    as one document. Null, empty and short texts and rows with a null id have none; an empty table gives none.
+    the least band of those that removals link. Passages that overlap are one. What repeats within one document only is no concern of this
+    operator, and rows with equal ids count as one document: each has its own passages, and equal rows the same. Null, empty and short texts and rows
+    with a null id have none; an empty table gives none; other columns don't matter.
     """
-    scratch = Scratch(docs.sparkSession, "passages")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null")
-    seeds = scratch.save(_seeds(docs), "seeds")
-    several = seeds.groupBy("d").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("d")
-    seen = scratch.save(seeds.join(several, "d", "left_semi"), "seen")
-    scratch.drop(seeds)
-    firsts = scratch.save(seen.groupBy("d", "c").agg(F.min(F.struct("doc", "pos")).alias("first")).select("d", "c", "first.doc", "first.pos"), "firsts")
-    varied = firsts.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
-    around = scratch.save(_contexts(docs, firsts.join(varied, "d", "left_semi")), "around")
-    found = scratch.save(_compared(around, num, den, least).groupBy("d", "c").agg(F.max("before").alias("before"), F.max("after").alias("after"), F.min("keeper").alias("keeper")), "found")
-    scratch.drop(around)
-    equal = seen.join(firsts.select("d", "c", F.col("doc").alias("keeper")), ["d", "c"]).where(F.col("doc") != F.col("keeper")).where(F.col("hi") - F.col("lo") >= least)
-    near = seen.join(found, ["d", "c"]).where(F.col("doc") != F.col("keeper"))
-    spans = equal.select("doc", F.col("lo").alias("start"), F.col("hi").alias("stop"), "keeper", "d").unionByName(near.select("doc", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + SEED + F.col("after")).alias("stop"), "keeper", "d"))
-    order = W.partitionBy("doc").orderBy("start", "stop")  # a document's own spans
-    reach = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
-    spans = spans.withColumn("new", (F.col("start") >= F.coalesce(reach, F.lit(-1))).cast("int"))
-    spans = spans.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = spans.groupBy("doc", "run").agg(F.min("start").alias("word_start"), F.max("stop").alias("word_stop"), F.min("keeper").alias("keeper_id"), F.min("d").alias("cluster"))
+    out = _passages(_keyed(docs, id_col, text_col), num, den, least)
     return out.select(F.col("doc").alias(id_col), "word_start", "word_stop", (F.col("word_stop") - F.col("word_start")).alias("n_words"), "keeper_id", "cluster")
 
 
@@ -274,19 +409,23 @@ def cut(text: str, starts: list[int], stops: list[int]) -> str:
     return "".join(out) + text[at:]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with the repeated passages cut from their texts; rows and columns stay as they are, texts may become empty."""
-    cuts = repeated_passages(docs, id_col, text_col, **how).groupBy(F.col(id_col).alias("__cut_id")).agg(F.collect_list(F.struct("word_start", "word_stop")).alias("__cuts"))
-    joined = docs.join(cuts, F.col(id_col) == F.col("__cut_id"), "left")
-
-    @F.pandas_udf("string")
-    def cut_all(text, starts, stops):  # noqa: ANN001
-        import pandas as pd
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 4, den: int = 5, least: int = LEAST) -> DataFrame:
+    """`docs` with the repeated passages cut from their texts; rows and columns stay as they are, texts may become empty.
 
-        return pd.Series([t if a is None or t is None else cut(t, list(a), list(b)) for t, a, b in zip(text, starts, stops, strict=True)], dtype=object)
-
-    text = cut_all(F.col(text_col), F.col("__cuts.word_start"), F.col("__cuts.word_stop"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    Passages are cut from the row that they were found in, by its id and text, so rows of one id with other texts keep theirs. Null ids and texts stay.
+    """
+    cuts = _passages(_keyed(docs, id_col, text_col), num, den, least).groupBy("doc", "t").agg(F.collect_list(F.struct("word_start", "word_stop")).alias("cuts"))
+    a, b, c = (fresh(docs, name) for name in ("cut_id", "cut_text", "cut_places"))
+    cuts = cuts.select(F.col("doc").alias(a), F.col("t").alias(b), F.col("cuts").alias(c))
+    joined = docs.join(cuts, (F.col(id_col).cast("long") == F.col(a)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(b)), "left")
+
+    @F.arrow_udf("string")
+    def cut_all(texts: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+        return pa.array([t if p is None else cut(t, p, q) for t, p, q in zip(texts_of(texts), starts.to_pylist(), stops.to_pylist(), strict=True)], pa.string())
+
+    # only texts with something to cut go to Python
+    text = F.when(F.col(c).isNull(), F.col(text_col)).otherwise(cut_all(F.when(F.col(c).isNotNull(), F.col(text_col).cast("string")), F.col(f"{c}.word_start"), F.col(f"{c}.word_stop")))
+    return joined.select(*[text.alias(x) if x == text_col else F.col(x) for x in docs.columns])
 
 
 def op3_substring_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
