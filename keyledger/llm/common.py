@@ -99,3 +99,16 @@ def texts_of(column: pa.Array) -> Iterator[str | None]:
     """The strings of a column, one at a time, so that a batch is not held twice."""
     for x in column:
         yield x.as_py()
+
+
+def pieces(column: pa.Array, most: int = 500_000) -> Iterator[tuple[int, list[str | None]]]:
+    """Rows of a text column in pieces of about that many characters: where a piece begins, and its texts."""
+    part, begin, size = [], 0, 0
+    for k, text in enumerate(texts_of(column)):
+        part.append(text)
+        size += len(text or "")
+        if size >= most:
+            yield begin, part
+            part, begin, size = [], k + 1, 0
+    if part:
+        yield begin, part

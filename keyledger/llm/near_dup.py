@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyledger.llm import shingles as S
-from keyledger.llm.common import Scratch, among, arrow_map, texts_of
+from keyledger.llm.common import Scratch, among, arrow_map, pieces
 from keyledger.llm.similar import linked_components
 
 
@@ -23,13 +23,13 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, d1, d2, sig = [], [], [], []
-        for text in texts_of(batch.column(1)):
-            s = S.shingle_set(text, n)
-            a, b = S.digest(s) if len(s) else (None, None)
-            counts.append(len(s))
-            d1.append(a)
-            d2.append(b)
-            sig.append(S.signature(s).tobytes() if len(s) else None)
+        for _, texts in pieces(batch.column(1)):
+            for s in S.shingle_sets(texts, n):
+                a, b = S.digest(s) if len(s) else (None, None)
+                counts.append(len(s))
+                d1.append(a)
+                d2.append(b)
+                sig.append(S.signature(s).tobytes() if len(s) else None)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n_shingles", "d1", "d2", "sig"])
 
     return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), sign, "id long, n_shingles long, d1 long, d2 long, sig binary")
@@ -72,7 +72,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def sets_of(ids: DataFrame) -> DataFrame:
         def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [S.shingle_set(t, n).tobytes() for t in texts_of(batch.column(1))]
+            found = [s.tobytes() for _, texts in pieces(batch.column(1)) for s in S.shingle_sets(texts, n)]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "set"])
 
         return arrow_map(among(docs, scratch.save(ids, "ids"), "id"), sets, "id long, set binary")

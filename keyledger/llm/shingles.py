@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
 
@@ -12,21 +14,6 @@ _rng = np.random.Generator(np.random.PCG64(20240229))
 _A = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, PERMS, dtype=np.uint64)
 
-class _Hashes(dict):
-    """Word hashes of a worker; forgotten when there are many, as they cost little to make again."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
 def words_of(text: str) -> list[bytes]:
     """A-Z lower-cased, split at the six ASCII white-space characters."""
     return text.encode("utf-8", "surrogatepass").lower().split()
@@ -38,11 +25,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
+BASE = 0x9E3779B97F4A7C15
+_scale = np.ones((2, 1), np.uint64)
+
+
+def scales(n: int) -> np.ndarray:
+    """Powers of the base up to n, and of its inverse."""
+    global _scale
+    if _scale.shape[1] > n:
+        return _scale
+    n = max(n, 1 << 12)
+    both = np.array([[BASE], [pow(BASE, -1, 2**64)]], np.uint64)
+    out = np.cumprod(np.hstack([np.ones((2, 1), np.uint64), np.repeat(both, n, axis=1)]), axis=1, dtype=np.uint64)
+    if n <= 1 << 21:  # longer texts have their own each time
+        _scale = out
+    return out
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A random number per byte: the same for A-Z and a-z, none for white space.
+_BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_BYTES[_SPACE] = 0
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+_PIECE = 1 << 20
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts, one after another, and how many each text has.
+
+    Words: A-Z lower-cased, split at the six ASCII white-space characters. All bytes of a piece are hashed at once, in running sums.
+    """
+    data = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    ends = np.cumsum([len(x) + 1 for x in data])
+    joined = b" ".join(data)
+    out, places, at = [], [], 0
+    while at < len(joined):
+        stop = len(joined)
+        if stop - at > _PIECE and (m := _BREAK.search(joined, at + _PIECE)):
+            stop = m.start()
+        raw = np.frombuffer(joined, np.uint8, stop - at, at)
+        gaps = np.concatenate([[True], _SPACE[raw], [True]])
+        turns = np.flatnonzero(gaps[1:] != gaps[:-1])
+        lo, hi = turns[::2], turns[1::2]
+        up, down = scales(len(raw))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[: len(raw)], dtype=np.uint64)])
+        out.append(mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)))
+        places.append(lo + at)
+        at = stop
+    if not out:
+        return np.empty(0, np.uint64), np.zeros(len(data), np.int64)
+    return np.concatenate(out), np.bincount(np.searchsorted(ends, np.concatenate(places), "right"), minlength=len(data))
+
+
+def shingled(h: np.ndarray, n: int) -> np.ndarray:
     """64-bit hashes of the n-word shingles in order; the whole sequence as one if it is shorter; none without words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    if not len(h):
+        return h
     k = min(n, len(h))
     out = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
     for i in range(k):
@@ -50,9 +90,10 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    return np.unique(shingle_hashes(words_of(text), n)) if text else np.empty(0, np.uint64)
+def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, sorted."""
+    h, counts = word_hashes(texts)
+    return [np.unique(shingled(x, n)) for x in np.split(h, np.cumsum(counts)[:-1])]
 
 
 def signature(s: np.ndarray) -> np.ndarray:

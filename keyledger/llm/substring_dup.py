@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,40 +29,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyledger.llm import shingles as S
-from keyledger.llm.common import Scratch, among, arrow_map, fresh, texts_of
+from keyledger.llm.common import Scratch, among, arrow_map, fresh, pieces, texts_of
 from keyledger.llm.components import components
 
-N, SEED, GAP, AROUND, EDIT, TILE = 5, 13, 13, 64, 11, 2048
+N, SEED, GAP, AROUND, EDIT, TILE = 5, 13, 13, 64, 11, 1024
 RUN = SEED + GAP - 1  # words of a paragraph
 LEAST = 51
 #: Rows and pairs of classes that are compared at a time.
 ROWS, PAIRS = 4096, 32_768
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_powers = np.ones((2, 1), _U)
-
-
-def _scales(n: int) -> np.ndarray:
-    """Powers of the base up to n, and of its inverse."""
-    global _powers
-    if _powers.shape[1] > n:
-        return _powers
-    both = np.array([[_BASE], [pow(_BASE, -1, 2**64)]], _U)
-    out = np.cumprod(np.hstack([np.ones((2, 1), _U), np.repeat(both, n, axis=1)]), axis=1, dtype=_U)
-    if n < 1 << 20:  # longer texts have their own each time
-        _powers = out
-    return out
-
-
 class Words:
-    """Hashes of a text's words, and of any run of them at the cost of a subtraction."""
-
-    def __init__(self, words: list[bytes]):
-        n = len(words)
-        self.h = np.fromiter(map(S._hashes.__getitem__, words), _U, n)
-        up, self._down = _scales(n)
+    """Hashes of the words of some texts, one after another, and of any run of them at the cost of a subtraction."""
+
+    def __init__(self, texts: list[str | None]):
+        h, sizes = S.word_hashes(texts)
+        short = sizes < RUN
+        self.h = h[~np.repeat(short, sizes)]
+        sizes = np.where(short, 0, sizes)
+        n = len(self.h)
+        up, self._down = S.scales(n)
         self._sums = np.concatenate([np.zeros(1, _U), np.cumsum(self.h * up[:n], dtype=_U)])
+        self.text = np.repeat(np.arange(len(sizes)), sizes)
+        self.starts = np.cumsum(sizes) - sizes
+        self.stops = self.starts + sizes
 
     def runs(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return S.mix((self._sums[hi] - self._sums[lo]) * self._down[lo] + (hi - lo).astype(_U) * S._M3)
@@ -76,73 +67,84 @@ def _each(x: np.ndarray, n: int, f: np.ufunc) -> np.ndarray:
     return f(x[: len(x) - (n - k)], x[n - k :]) if k < n else x
 
 
-def anchors(g: np.ndarray) -> np.ndarray:
-    """Where bands are: positions that hold the least of some GAP hashes in a row. Of equal hashes close together one every GAP or so."""
+def anchors(g: np.ndarray, text: np.ndarray | None = None, whole: np.ndarray | None = None) -> np.ndarray:
+    """Where bands are: positions that hold the least of some GAP hashes in a row. Of equal hashes close together one every GAP or so.
+
+    text: of which text each position is. whole: of the GAP hashes from each position on, whether all are of its text.
+    """
     if len(g) < GAP:
         return np.empty(0, np.int64)
+    least = _each(g, GAP, np.minimum)
+    if whole is not None:
+        least = np.where(whole[: len(least)], least, 0)
     edge = np.zeros(GAP - 1, g.dtype)
-    at = np.flatnonzero(_each(np.concatenate([edge, _each(g, GAP, np.minimum), edge]), GAP, np.maximum) == g)
-    new = np.append(True, (g[at[1:]] != g[at[:-1]]) | (np.diff(at) >= GAP))
+    at = np.flatnonzero(_each(np.concatenate([edge, least, edge]), GAP, np.maximum) == g)
+    new = (g[at[1:]] != g[at[:-1]]) | (np.diff(at) >= GAP)
+    if text is not None:
+        new |= text[at[1:]] != text[at[:-1]]
+    new = np.append(True, new)[: len(at)]
     part = (at - np.maximum.accumulate(np.where(new, at, 0))) // GAP
-    return at[new | np.append(True, part[1:] != part[:-1])]
+    return at[new | np.append(True, part[1:] != part[:-1])[: len(at)]]
 
 
-def blocks(text: str | None) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A text's words, and of its bands: positions, hashes, classes (hash of the surroundings), and words before and after the band's shingle."""
-    found = S.words_of(text) if text else []
-    words = Words(found if len(found) >= RUN else [])
-    n = len(words.h)
-    i = np.arange(max(0, n - SEED + 1))
+def blocks(texts: list[str | None]) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of some texts, and of their bands: positions in all of these words, hashes, classes (hash of the surroundings), words before and after the band's shingle."""
+    words = Words(texts)
+    i = np.arange(max(0, len(words.h) - SEED + 1))
     g = words.runs(i, i + SEED)
-    at = anchors(g)
-    before, after = np.minimum(at, AROUND), np.minimum(n - at - SEED, AROUND)
+    at = anchors(g, words.text, i + RUN <= words.stops[words.text[: len(i)]])
+    of = words.text[at]
+    before, after = np.minimum(at - words.starts[of], AROUND), np.minimum(words.stops[of] - at - SEED, AROUND)
     classes = words.runs(at - before, at + SEED + after) + S.mix(before.astype(_U))
     return words, at, g[at].view(np.int64), classes.view(np.int64), before, after
 
 
 def _bands(docs: DataFrame) -> DataFrame:
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for k in range(0, batch.num_rows, 1024):
-            part = batch.slice(k, 1024)
-            found = [blocks(t)[1:] for t in texts_of(part.column(2))]
-            at, d, c, before, after = (np.concatenate([x[k] for x in found]) for k in range(5))
-            times = [len(x[0]) for x in found]
-            doc, t = (np.repeat(part.column(k).to_numpy(), times) for k in (0, 1))
-            columns = (d, c, doc, t, at.astype(np.int32), before.astype(np.int8), after.astype(np.int8))
+        docs, ts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for k, texts in pieces(batch.column(2)):
+            words, at, d, c, before, after = blocks(texts)
+            of = words.text[at]
+            columns = (d, c, docs[k + of], ts[k + of], (at - words.starts[of]).astype(np.int32), before.astype(np.int8), after.astype(np.int8))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["d", "c", "doc", "t", "pos", "before", "after"])
 
     return arrow_map(docs, cut, "d long, c long, doc long, t long, pos int, before byte, after byte")
 
 
 def _surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d, i, j, c, doc, pos, side, before, words of the wanted classes (c, doc, tiles): a row for each pair of tiles that a class is in, i <= j, side: whether it is of tile j."""
-    lists = wanted.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("c", "tiles"))).alias("x"))  # at most a document's own bands
+    """d, i, j, c, doc, side, before, words of the wanted classes (c, doc, tiles): a row for each pair of tiles that a class is in, i <= j, side: whether it is of tile j."""
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("c", "tiles")).alias("x"))  # at most a document's own bands
     lists = lists.select("doc", F.col("x.c").alias("c"), F.col("x.tiles").alias("tiles"))
 
     def walk(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
-        names = ["d", "i", "j", "c", "doc", "pos", "side", "before", "words"]
-        rows: list[tuple] = []
-        for k in range(batch.num_rows):
-            doc, asked, tiles = batch.column(0)[k].as_py(), batch.column(2)[k].values.to_numpy(), batch.column(3)[k].values.to_numpy()
-            words, at, d, c, before, after = blocks(batch.column(1)[k].as_py())
-            place = np.searchsorted(asked, c)
-            place[place == len(asked)] = 0
-            mine = np.flatnonzero(asked[place] == c)
-            mine = mine[np.unique(c[mine], return_index=True)[1]]
+        docs = batch.column(0).to_numpy()
+        named = lambda c, row: S.mix(c.view(_U) + S.mix(row.astype(_U)))
+        for k, texts in pieces(batch.column(1)):
+            words, at, d, c, before, after = blocks(texts)
+            asked, tiles = (batch.column(x).slice(k, len(texts)) for x in (2, 3))
+            sizes = np.diff(asked.offsets.to_numpy())
+            names = named(asked.flatten().to_numpy(), np.repeat(np.arange(len(texts)), sizes))
+            order = np.argsort(names)
+            names, tiles = names[order], tiles.flatten().to_numpy()[order]
+            mine = named(c, words.text[at])
+            place = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+            x = np.flatnonzero(names[place] == mine)
+            x = x[np.unique(mine[x], return_index=True)[1]]
+            n = tiles[place[x]].astype(np.int64)
+            x, many = np.repeat(x, n), np.repeat(n, n)
+            other = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            own = c[x] % many
             h = words.h.astype(np.uint32)
-            for x in mine.tolist():
-                p, b, n = int(at[x]), int(before[x]), int(tiles[place[x]])
-                around = h[p - b : p + SEED + int(after[x])].tobytes()
-                own = int(c[x]) % n
-                for other in range(n):
-                    rows.append((int(d[x]), min(own, other), max(own, other), int(c[x]), doc, p, own > other, b, around))
-            if len(rows) >= 8192:
-                yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], kind) for m, kind in enumerate(kinds)], names)
-                rows = []
-        yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], kind) for m, kind in enumerate(kinds)], names)
-
-    schema = "d long, i int, j int, c long, doc long, pos int, side boolean, before int, words binary"
+            for a in range(0, len(x), 8192):
+                y, o, w = x[a : a + 8192], own[a : a + 8192], other[a : a + 8192]
+                size = before[y] + SEED + after[y]
+                ends = np.cumsum(size)
+                place_of = np.arange(ends[-1]) + np.repeat((at - before)[y] - ends + size, size)
+                around = pa.Array.from_buffers(pa.binary(), len(y), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(h[place_of])])
+                columns = (d[y], np.minimum(o, w).astype(np.int32), np.maximum(o, w).astype(np.int32), c[y], docs[k + words.text[at[y]]], o > w, before[y].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in columns), around], ["d", "i", "j", "c", "doc", "side", "before", "words"])
+
+    schema = "d long, i int, j int, c long, doc long, side boolean, before int, words binary"
     return arrow_map(docs.join(lists, "doc").select("doc", "text", "c", "tiles"), walk, schema)
 
 
@@ -153,28 +155,43 @@ def _shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _steps(x: list[int], y: list[int], n: int) -> list[tuple[int, int]]:
-    """How far two texts, given by their shingles, go together: n words, then after each edit that 5 equal words follow."""
-    out, i, j = [(n, n)], n, n
-    while i < len(x) and j < len(y):
-        at: dict[int, int] = {}
-        for a, v in enumerate(x[i : i + EDIT + 1]):
-            at.setdefault(v, a)
-        best = min(((max(at[v], b), at[v] + b, at[v], b) for b, v in enumerate(y[j : j + EDIT + 1]) if v in at), default=None)
-        if best is None:
-            break
-        i, j = i + best[2], j + best[3]
-        while i < len(x) and j < len(y) and x[i] == y[j]:
-            i, j = i + 1, j + 1
-        i, j = i + N - 1, j + N - 1
-        out.append((i, j))
-    return out
+#: The order in which pairs of places behind an edit are taken: those that skip least first.
+_REACH = np.arange(EDIT + 1)
+_RANK = np.empty((EDIT + 1) ** 2, np.int16)
+_RANK[sorted(range(len(_RANK)), key=lambda k: (max(divmod(k, EDIT + 1)), sum(divmod(k, EDIT + 1)), k))] = np.arange(len(_RANK))
+
+
+def steps(g: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far rows x and y of a table of shingles, outwards, go together: n words, then after each edit that 5 equal words follow.
+
+    Gives the words of either side, a column for each edit passed, and how many columns a pair has. Zeros are no shingles; the last column is zero.
+    """
+    i, j, last = n.copy(), n.copy(), g.shape[1] - 1
+    along, across, many, going = [n], [n], np.zeros(len(x), np.int64), np.arange(len(x))
+    wide = np.arange(last + 1)
+    while len(going):
+        p, q = x[going, None], y[going, None]
+        a, b = g[p, np.minimum(i[going, None] + _REACH, last)], g[q, np.minimum(j[going, None] + _REACH, last)]
+        rank = np.where((a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None], _RANK.reshape(EDIT + 1, -1), 9999).reshape(len(going), -1)
+        best = rank.argmin(axis=1)
+        ok = rank[np.arange(len(going)), best] < 9999
+        going, best = going[ok], best[ok]
+        i[going] += best // (EDIT + 1)
+        j[going] += best % (EDIT + 1)
+        a = g[x[going, None], np.minimum(i[going, None] + wide, last)]
+        run = ((a != g[y[going, None], np.minimum(j[going, None] + wide, last)]) | (a == 0)).argmax(axis=1)
+        i[going] += run + N - 1
+        j[going] += run + N - 1
+        many[going] += 1
+        along.append(i.copy())
+        across.append(j.copy())
+    return np.stack(along, axis=1), np.stack(across, axis=1), many + 1
 
 
 class Classes:
     """Classes of some bands, those of a band in a row and sorted by document, as arrays: words at either side, outwards, and the shingles there."""
 
-    def __init__(self, docs: np.ndarray, before: np.ndarray, words: list[np.ndarray]):
+    def __init__(self, bands: np.ndarray, docs: np.ndarray, before: np.ndarray, words: list[np.ndarray]):
         self.docs, self.before = docs, before.astype(np.int64)
         sizes = np.array([len(w) for w in words], np.int64)
         self.after = sizes - self.before - SEED
@@ -183,73 +200,108 @@ class Classes:
         middle = self.starts + self.before
         out = np.arange(AROUND)
         self.sides = []
-        grams = _shingles(flat)
+        self.grams = _shingles(flat)
         for limit, begin, sign, shift in ((self.before, middle - 1, -1, N - 1), (self.after, middle + SEED, 1, 0)):
             at = np.clip(begin[:, None] + sign * out, 0, len(flat) - 1)
             h = np.where(out < limit[:, None], flat[at], 0)
+            g = np.where(out <= limit[:, None] - N, self.grams[np.clip(at - shift, 0, len(self.grams) - 1)], 0)
             # a last column that always differs ends every comparison
-            g = np.where(out <= limit[:, None] - N, grams[np.clip(at - shift, 0, max(0, len(grams) - 1))], 0) if len(grams) else np.zeros(at.shape, _U)
-            self.sides.append((limit, np.hstack([h, np.zeros((len(h), 1), h.dtype)]), np.hstack([g, np.zeros((len(g), EDIT + 1), g.dtype)])))
-        self._grams, self._flat = grams, flat
-        self._lists: dict[int, tuple[list[int], list[int], list[int]]] = {}
-        self._sets: dict[int, frozenset] = {}
+            self.sides.append((limit, np.hstack([h, np.zeros((len(h), 1), h.dtype)]), np.hstack([g, np.zeros((len(g), EDIT + 1), g.dtype)]), h[:, : (RUN - SEED) // 2].astype(_U) @ _HALF))
+        self._common: list[np.ndarray] | None = None
+        self._bands = bands
+        self._lists: dict[int, tuple[list[int], frozenset]] = {}
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether pairs may share a paragraph: half of its other words at one side or the other."""
+        return (self.sides[0][3][x] == self.sides[0][3][y]) | (self.sides[1][3][x] == self.sides[1][3][y])
 
     def equal(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many words next to the band's shingle classes x and y share, before and after."""
         out = []
-        for limit, h, _ in self.sides:
+        for limit, h, *_ in self.sides:
             differs = h[x] != h[y]
             differs[:, -1] = True
             out.append(np.minimum(differs.argmax(axis=1), np.minimum(limit[x], limit[y])))
         return out[0], out[1]
 
-    def bridged(self, x: np.ndarray, y: np.ndarray, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Whether at either side 5 equal words follow an edit behind what is equal."""
-        ok = np.zeros(len(x), bool)
-        reach = np.arange(EDIT + 1)
-        for (_, _, g), n in zip(self.sides, far, strict=True):
-            a, b = g[x[:, None], n[:, None] + reach], g[y[:, None], n[:, None] + reach]
-            for k in range(EDIT + 1):
-                ok |= ((a == b[:, k : k + 1]) & (a != 0)).any(axis=1)
-        return ok
-
-    def lists(self, k: int) -> tuple[list[int], list[int], list[int]]:
-        """Shingles of a class: before its band's shingle, outwards; after it; all in order."""
-        if k not in self._lists:
-            b, a, s = int(self.before[k]), int(self.after[k]), int(self.starts[k])
-            whole = self._grams[s : s + b + SEED + a - N + 1].tolist()
-            self._lists[k] = whole[: max(0, b - N + 1)][::-1], whole[b + SEED :], whole
-            self._sets[k] = frozenset(whole)
-        return self._lists[k]
-
-    def grown(self, x: int, ys: list[int], far: list[tuple[int, int]], top: list[int], num: int, den: int, least: int) -> None:
-        """Takes what classes `ys`, nearest first, have of x across edits into top: words before, after, keeper."""
-        b, a = int(self.before[x]), int(self.after[x])
-        mine = self.lists(x)
-        outside: set[int] | None = None
-        for y, near in zip(ys, far, strict=True):
-            if top[0] == b and top[1] == a:
-                return
-            theirs = self.lists(y)
-            if top[0] >= 0:  # only a class helps that shares a shingle outside what is found
-                if outside is None:
-                    outside = {*mine[2][: b - top[0]], *mine[2][max(0, b + SEED + top[1] - N + 1) :]}
-                if outside.isdisjoint(self._sets[y]):
-                    continue
-            ls, rs = (_steps(mine[k], theirs[k], near[k]) for k in (0, 1))
-            spans = sorted(((p[0] + q[0] + SEED, p, q) for p in ls for q in rs if (p, q) != (ls[0], rs[0])), reverse=True)
+    def may_bridge(self, x: np.ndarray, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether behind what is equal x has any shingle, within an edit's reach, that another class of its band has too."""
+        if self._common is None:
+            g = np.hstack([s[2] for s in self.sides])
+            row, at = np.nonzero(g)
+            key = S.mix(g[row, at] + S.mix(self._bands[row].astype(_U)))
+            order = np.lexsort((row, key))
+            k, r = key[order], row[order]
+            start = np.append(True, k[1:] != k[:-1])
+            several = np.logical_or.reduceat(np.append(False, (r[1:] != r[:-1]) & ~start[1:]), np.flatnonzero(start)) if len(k) else np.empty(0, bool)
+            there = np.zeros(g.shape, bool)
+            there[row[order], at[order]] = several[np.cumsum(start) - 1]
+            self._common = []
+            for part in np.hsplit(there, 2):
+                pad = np.hstack([part, np.zeros((len(part), EDIT), bool)])
+                self._common.append(np.lib.stride_tricks.sliding_window_view(pad, EDIT + 1, axis=1).any(axis=2))
+        return self._common[0][x, far[0]] | self._common[1][x, far[1]]
+
+    def grown(self, x: np.ndarray, y: np.ndarray, l: np.ndarray, r: np.ndarray, top: dict[int, list[int]], num: int, den: int, least: int) -> None:  # noqa: E741
+        """Takes what classes y have of classes x across edits into top: by x, words before, after, and keeper. x in order, the nearest y first."""
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        stop = np.append(first[1:], len(x))
+        more = 1
+        while len(first):
+            take = np.minimum(more, stop - first)
+            take = take[: max(1, int(np.searchsorted(np.cumsum(take), PAIRS // 4)))]
+            pairs = np.repeat(first[: len(take)] - np.cumsum(take) + take, take) + np.arange(take.sum())
+            self._grow(x[pairs], y[pairs], l[pairs], r[pairs], top, num, den, least)
+            first[: len(take)] += take
+            open_ = np.array([a < b and (top[k][0] < p or top[k][1] < q) for a, b, k, p, q in zip(first.tolist(), stop.tolist(), *(v[np.minimum(first, len(x) - 1)].tolist() for v in (x, self.before[x], self.after[x])), strict=True)], bool)
+            if len(take) == len(first):
+                more = min(2 * more, 256)
+            first, stop = first[open_], stop[open_]
+
+    def _grow(self, x: np.ndarray, y: np.ndarray, l: np.ndarray, r: np.ndarray, top: dict[int, list[int]], num: int, den: int, least: int) -> None:  # noqa: E741
+        left, right = (steps(s[2], x, y, n) for s, n in zip(self.sides, (l, r), strict=True))
+        ends = self.before[x], self.after[x]
+        # nothing but pairs that pass an edit, are long enough, and reach beyond what is found
+        far = [np.take_along_axis(s[0], s[2][:, None] - 1, axis=1)[:, 0] for s in (left, right)]
+        known = np.array([top[k][:2] for k in x.tolist()]).reshape(-1, 2)
+        use = ((left[2] > 1) | (right[2] > 1)) & (far[0] + far[1] + SEED >= least) & ((far[0] > known[:, 0]) | (far[1] > known[:, 1]))
+        for k in np.flatnonzero(use).tolist():
+            row, other = int(x[k]), int(y[k])
+            best = top[row]
+            ls = list(zip(left[0][k, : left[2][k]].tolist(), left[1][k, : left[2][k]].tolist(), strict=True))
+            rs = list(zip(right[0][k, : right[2][k]].tolist(), right[1][k, : right[2][k]].tolist(), strict=True))
+            spans = [(p[0] + q[0] + SEED, p, q) for p in ls for q in rs]
+            del spans[0]  # what is equal as it is
+            if len(spans) > 1:
+                spans.sort(reverse=True)
+            (mine, mine_set), (theirs, their_set) = self._whole(row), self._whole(other)
+            plain = len(mine) == len(mine_set) and len(theirs) == len(their_set)  # no shingle twice
+            in_both = list(accumulate(map(their_set.__contains__, mine), initial=0)), list(accumulate(map(mine_set.__contains__, theirs), initial=0))
+            a, b = int(self.before[row]), int(self.before[other])
             for size, p, q in spans:
                 if size < least:
                     break
-                if p[0] <= top[0] and q[0] <= top[1]:
+                if p[0] <= best[0] and q[0] <= best[1]:
                     continue
-                one = set(mine[2][b - p[0] : b + SEED + q[0] - N + 1])
-                c = int(self.before[y])
-                two = set(theirs[2][c - p[1] : c + SEED + q[1] - N + 1])
-                both = len(one & two)
-                if den * both >= num * (len(one) + len(two) - both):
-                    top[:] = max(top[0], p[0]), max(top[1], q[0]), min(top[2], int(self.docs[y]))
-                    outside = None
+                one, two = slice(a - p[0], a + SEED + q[0] - N + 1), slice(b - p[1], b + SEED + q[1] - N + 1)
+                if plain:
+                    most = min(in_both[0][one.stop] - in_both[0][one.start], in_both[1][two.stop] - in_both[1][two.start])
+                    if den * most < num * (one.stop - one.start + two.stop - two.start - most):
+                        continue
+                u, v = set(mine[one]), set(theirs[two])
+                both = len(u & v)
+                if den * both >= num * (len(u) + len(v) - both):
+                    best[:] = max(best[0], p[0]), max(best[1], q[0]), min(best[2], int(self.docs[other]))
+
+    def _whole(self, k: int) -> tuple[list[int], frozenset]:
+        if k not in self._lists:
+            s = int(self.starts[k])
+            found = self.grams[s : s + int(self.before[k] + SEED + self.after[k]) - N + 1].tolist()
+            self._lists[k] = found, frozenset(found)
+        return self._lists[k]
+
+
+_HALF = np.cumprod(np.full((RUN - SEED) // 2, S.BASE, _U), dtype=_U)
 
 
 def matches(bands: np.ndarray, docs: np.ndarray, before: np.ndarray, words: list[np.ndarray], num: int, den: int, least: int, side: np.ndarray | None = None, cross: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int]]:
@@ -257,43 +309,42 @@ def matches(bands: np.ndarray, docs: np.ndarray, before: np.ndarray, words: list
 
     side, cross: where rows are of a pair of different tiles, those of one side meet those of the other only.
     """
-    all_ = Classes(docs, before, words)
+    all_ = Classes(bands, docs, before, words)
     n = len(docs)
     starts = np.append(True, bands[1:] != bands[:-1])
     begin = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
     same = np.append(False, (docs[1:] == docs[:-1]) & ~starts[1:])
-    stop = np.maximum.accumulate(np.where(same, 0, np.arange(n)))  # where the row's own document begins
-    many = stop - begin
+    many = np.maximum.accumulate(np.where(same, 0, np.arange(n))) - begin  # rows of the band before the row's own document
+    total = np.cumsum(many)
+    crowded = total[-1] > 16 * n
     at = 0
     while at < n:
-        upto = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), PAIRS, "right")) + at)
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
         m = many[at:upto]
         x = np.repeat(np.arange(at, upto), m)
         y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + begin[x]
         at = upto
+        ok = all_.near(x, y)
         if side is not None:
-            ok = ~cross[x] | (side[x] != side[y])
-            x, y = x[ok], y[ok]
+            ok &= ~cross[x] | (side[x] != side[y])
+        x, y = x[ok], y[ok]
         if not len(x):
             continue
         l, r = all_.equal(x, y)  # noqa: E741
         size = l + r + SEED
         first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
         whole = size >= least
-        top = np.stack([np.maximum.reduceat(np.where(whole, v, -1), first) for v in (l, r)] + [np.minimum.reduceat(np.where(whole, docs[y], 2**63 - 1), first)], axis=1)
+        found = np.stack([np.maximum.reduceat(np.where(whole, v, -1), first) for v in (l, r)] + [np.minimum.reduceat(np.where(whole, docs[y], 2**63 - 1), first)], axis=1)
         rows = x[first]
-        open_ = (top[:, 0] < all_.before[rows]) | (top[:, 1] < all_.after[rows])
+        open_ = (found[:, 0] < all_.before[rows]) | (found[:, 1] < all_.after[rows])
+        top = dict(zip(rows.tolist(), found.tolist(), strict=True))
         left = np.flatnonzero((size >= RUN) & np.repeat(open_, np.diff(np.append(first, len(x)))))
-        left = left[all_.bridged(x[left], y[left], (l[left], r[left]))]
-        left = left[np.lexsort((y[left], -size[left], x[left]))]
-        found = {}
-        for part in np.split(left, np.flatnonzero(np.diff(x[left])) + 1) if len(left) else ():
-            row = int(x[part[0]])
-            best = top[np.searchsorted(rows, row)].tolist()
-            all_.grown(row, y[part].tolist(), list(zip(l[part].tolist(), r[part].tolist(), strict=True)), best, num, den, least)
-            found[row] = best
-        for row, best in zip(rows.tolist(), top.tolist(), strict=True):
-            best = found.get(row, best)
+        if crowded and len(left):
+            left = left[all_.may_bridge(x[left], (l[left], r[left]))]
+        if len(left):
+            left = left[np.lexsort((y[left], -size[left], x[left]))]
+            all_.grown(x[left], y[left], l[left], r[left], top, num, den, least)
+        for row, best in top.items():
             if best[0] >= 0:
                 yield row, *best
 

@@ -118,7 +118,11 @@ def test_anchors_are_the_same_wherever_a_passage_stands():
     passage = words(rnd, 51)
     for k in range(30):
         a, b = (" ".join(words(rnd, rnd.randint(0, 90)) + passage + words(rnd, rnd.randint(0, 90))) for _ in range(2))
-        assert set(sub.blocks(a)[1].tolist()) & set(sub.blocks(b)[1].tolist()), k
+        assert set(sub.blocks([a])[2].tolist()) & set(sub.blocks([b])[2].tolist()), k
+    texts = [" ".join(rnd.choice((["is"] * 60, words(rnd, 70), words(rnd, rnd.randint(0, 30))))) for _ in range(40)]
+    together = sub.blocks(texts)
+    alone = [sub.blocks([t]) for t in texts]
+    assert all(np.array_equal(together[k], np.concatenate([x[k] for x in alone])) for k in range(2, 6))  # texts side by side don't touch each other
     at = sub.anchors(np.random.default_rng(1).integers(0, 2**63, 200_000, dtype=np.uint64))
     assert np.diff(at).max() <= sub.GAP and (sub.anchors(np.zeros(30, np.uint64)) >= 0).all()
 
