@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyledger.llm.url_filter import build_filter, may_contain
@@ -95,6 +95,16 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | Iter
     return df.mapInArrow(run, schema)
 
 
+def flag(column: Column, test: Callable[[pa.Array], pa.Array]) -> Column:
+    """A boolean column: `test` of a column's batches. Only that column goes to Python."""
+
+    @F.arrow_udf("boolean")
+    def run(x: pa.Array) -> pa.Array:
+        return test(x)
+
+    return run(column)
+
+
 def texts_of(column: pa.Array) -> Iterator[str | None]:
     """The strings of a column, one at a time, so that a batch is not held twice."""
     for x in column:

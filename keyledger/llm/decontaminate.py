@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyledger.llm import shingles as S
-from keyledger.llm.common import arrow_map, texts_of
+from keyledger.llm.common import arrow_map, flag, held, texts_of
 
 N, MATCH, LEAST, LEAST_WORDS = 3, 2, 0.5, 8
 SHORT = 0.75  # similarity that is enough for an item of 8 words or more, if 8 words' score would be more
@@ -159,14 +159,8 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield sorted(((r[0], r[1]) for r in rows if r[1]), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def _vocabulary(key: str, numbers: dict[str, int]) -> Vocabulary:
-    if key not in _vocabularies:
-        _vocabularies.clear()
-        _vocabularies[key] = Vocabulary(numbers)
-    return _vocabularies[key]
+    return held(("items", key), lambda: Vocabulary(numbers))
 
 
 def _counts(docs: DataFrame, key: str, numbers) -> tuple[np.ndarray, int]:
@@ -231,18 +225,17 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, rare: float = RARE) -> DataFrame:
-    """`docs` without the rows whose texts hold a test item; no shuffle, columns stay as they are."""
+    """`docs` without the rows whose texts hold a test item; no shuffle, columns stay as they are. Texts alone go to Python, and only a flag comes back."""
     tests = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
     slim = docs.select(F.col(text_col).cast("string").alias("text"))
-    at = docs.columns.index(text_col)
     for key, shared in _indexes(slim, tests, rare):
 
-        def keep(batch: pa.RecordBatch, key=key, shared=shared) -> pa.RecordBatch:
+        def clean(texts: pa.Array, key=key, shared=shared) -> pa.Array:
             index = shared.value
             v = _vocabulary(key, index.numbers)
-            return batch.filter(pa.array([not index.find(v.read(text), least) for text in texts_of(batch.column(at))]))
+            return pa.array([not index.find(v.read(text), least) for text in texts_of(texts)], pa.bool_())
 
-        docs = arrow_map(docs, keep, docs.schema)
+        docs = docs.where(flag(F.col(text_col).cast("string"), clean))
     return docs
 
 

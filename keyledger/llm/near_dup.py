@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyledger.llm import shingles as S
-from keyledger.llm.common import Scratch, among, arrow_map, pieces
+from keyledger.llm.common import Scratch, among, arrow_map, fresh, pieces
 from keyledger.llm.similar import linked_components
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, n_shingles, d1 and d2 (digest of the set, null if empty), sig."""
+def _signed(docs: DataFrame, n: int) -> DataFrame:
+    """id, text_hash, n_shingles, d1 and d2 (digest of the set, null if empty), sig."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, d1, d2, sig = [], [], [], []
@@ -30,9 +30,9 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 d1.append(a)
                 d2.append(b)
                 sig.append(S.signature(s).tobytes() if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["id", "n_shingles", "d1", "d2", "sig"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sig, pa.binary())], ["id", "text_hash", "n_shingles", "d1", "d2", "sig"])
 
-    return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), sign, "id long, n_shingles long, d1 long, d2 long, sig binary")
+    return arrow_map(docs.select("id", "text", F.xxhash64("text")), sign, "id long, text_hash long, n_shingles long, d1 long, d2 long, sig binary")
 
 
 def _trees(reps: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ def _trees(reps: DataFrame) -> DataFrame:
     return arrow_map(reps.select("id", "sig"), grow, "p long, s binary, id long, bits binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row per row of `docs`: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 4, den: int = 5, tell: bool = False) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles, component_id, kept; with `tell` also text_hash, the xxhash64 of the text.
 
     Words: A-Z lower-cased, split at ASCII white space. Sets: distinct n-word shingles, the whole text as one if it has
     fewer words. Texts link with den * intersection >= num * union; component_id is the smallest id that links reach, and
@@ -65,7 +65,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-duplicates")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.save(_signed(docs, "id", "text", n), "signed")
+    signed = scratch.save(_signed(docs, n), "signed")
     reps = signed.where("d1 is not null and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     reps = scratch.save(reps, "classes")
     first = signed.join(reps.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").select("id", "sig")
@@ -81,17 +81,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = reps.join(comp, reps["rep"] == comp["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
     out = signed.drop("sig").join(named, ["d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), *(["text_hash"] if tell else []), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """`docs` without the rows that `near_duplicates` does not keep; columns stay as they are.
 
-    Rows that share the kept id all stay if they are texts of its component; rows with a null id stay.
+    Rows go by their id and text, so a row of a kept text stays whatever other rows have its id. Rows that share the kept id all stay if they
+    are texts of its component; rows with a null id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
-    gone = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    found = near_duplicates(docs, id_col, text_col, tell=True, **how)
+    a, b = fresh(docs, "gone_id"), fresh(docs, "gone_text")
+    gone = found.where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(a), F.col("text_hash").alias(b)).distinct()
+    return docs.join(gone, (F.col(id_col).cast("long") == F.col(a)) & (text == F.col(b)), "left_anti")
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ Both cut texts into pre-tokens that no piece crosses: a run of spaces with the w
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyledger.llm.common import arrow_map, texts_of
+from keyledger.llm.common import arrow_map, held, texts_of
 
 SPACE = "▁"
 _PRE = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
@@ -84,9 +85,6 @@ class _Lengths(dict):
         return n
 
 
-_SPACED: dict[tuple, tuple] = {}
-
-
 def _heads(docs: DataFrame, keep: int) -> list[tuple[str, int]]:
     """Frequent pre-tokens over all texts: each task counts its own, and bounded lists merge in a tree; no pre-token is shuffled by itself."""
 
@@ -137,14 +135,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     driver = _Lengths(path, {})
     table = spark.sparkContext.broadcast({SPACE + w: driver[SPACE + w] for w, _ in _heads(docs, keep) if len(w) <= _LONG and SPACE not in w})
 
+    key = uuid.uuid4().hex
+
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = (path, table.id if hasattr(table, "id") else id(table))
-        if at not in _SPACED:
-            lengths = _Lengths(path, table.value)
-            bare = _Bare(lengths)
-            _SPACED.clear()
-            _SPACED[at] = (lengths, bare)
-        lengths, bare = _SPACED[at]
+        lengths, bare = held(("lengths", key), lambda: (x := _Lengths(path, table.value), _Bare(x)))
         out = []
         for text in texts_of(batch.column(2)):
             if not text:
@@ -284,14 +278,9 @@ class Encoder:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(model: str) -> Encoder:
     """One per worker and model."""
-    if model not in _encoders:
-        _encoders[model] = Encoder(model)
-    return _encoders[model]
+    return held(("encoder", model), lambda: Encoder(model))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyledger.llm.common import arrow_map, texts_of
+from keyledger.llm.common import arrow_map, flag, held, texts_of
 
 #: Labelled rows that the model is fitted on, and features it keeps, at most.
 SAMPLE, FEATURES = 6_000, 1_000
@@ -142,14 +142,8 @@ class _Weights(dict):
         return x
 
 
-_weights: dict[str, _Weights] = {}
-
-
 def _scorer(key: str, model: OrdinalModel) -> _Weights:
-    if key not in _weights:
-        _weights.clear()
-        _weights[key] = _Weights(model)
-    return _weights[key]
+    return held(("toxicity", key), lambda: _Weights(model))
 
 
 def _scores(w: _Weights, column: pa.Array) -> list[float]:
@@ -182,15 +176,13 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
 
 def remove_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject: float = 0.1) -> DataFrame:
-    """`docs` without rejected rows; no shuffle, columns stay as they are."""
+    """`docs` without rejected rows; no shuffle, columns stay as they are. Texts alone go to Python, and only a flag comes back."""
     key, shared = _share(docs.sparkSession, model)
-    at = docs.columns.index(text_col)
 
-    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = _scores(_scorer(key, shared.value), batch.column(at))
-        return batch.filter(pa.array([shared.value.above(x)[0] < reject for x in found]))
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.above(x)[0] < reject for x in _scores(_scorer(key, shared.value), texts)], pa.bool_())
 
-    return arrow_map(docs, keep, docs.schema)
+    return docs.where(flag(F.col(text_col).cast("string"), clean))
 
 
 def labelled_grade() -> Column:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as C
-from keyledger.llm import decontaminate as D, toxicity as T
+from keyledger.llm import decontaminate as D, tokens, toxicity as T
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -128,19 +128,20 @@ def test_pipeline(spark, tmp_path):
     shared = [(300 + i, f"{' '.join(words(rnd, 60))} {passage} {' '.join(words(rnd, 60))}") for i in range(8)]
     items = [(k, " ".join(words(rnd, 30))) for k in range(3)]
     leaked = [(400 + i, " ".join(words(rnd, 60)) + " " + items[i % 3][1]) for i in range(6)]
-    rows = clean + toxic + copies + shared + leaked + [(500, None), (501, "")]
+    again = (0, " ".join(words(rnd, 80)))  # another text of an id that has copies
+    rows = clean + toxic + copies + shared + leaked + [again, (500, None), (501, "")]
     rnd.shuffle(rows)
     d = str(tmp_path)
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, int(100 <= i < 140)) for i, _ in rows if i % 2 == 0], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    out = {r.doc_id: r for r in C.run(spark, d).collect()}
+    found = C.run(spark, d).collect()
+    assert sorted(r.n_tokens for r in found if r.doc_id == 0) == sorted(len(tokens.encoder(tokens.default_model()).encode(t)) for t in (clean[0][1], again[1]))
+    out = {r.doc_id: r for r in found}
     assert set(out) == {i for i, _ in clean} | {i for i, _ in shared} | {500, 501}
-    from keyledger.llm import tokens
-
     e = tokens.encoder(tokens.default_model())
     texts = {i: e.decode(r.ids) for i, r in out.items()}
-    assert sum(passage in t for t in texts.values()) == 1 and all(texts[i] == t for i, t in clean)
+    assert sum(passage in t for t in texts.values()) == 1 and all(texts[i] == t for i, t in clean[1:])
 
 
 @pytest.mark.parametrize("name,stage", C.STAGES[:-1])

@@ -71,6 +71,15 @@ def test_near_duplicates_edge_cases(spark):
     assert sorted((r.doc_id or -1) for r in near_dup.keep_one(df).collect()) == [-1, -1, 1, 1] and near_dup.keep_one(df).columns == df.columns
 
 
+def test_keep_one_goes_by_row(spark):
+    x, y = (" ".join(words(random.Random(k), 40)) for k in (1, 2))
+    rows = [(0, x), (1, y), (1, x), (1, None), (None, x)]
+    df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, Gone_ID int, text_hash string")
+    left = near_dup.keep_one(df)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(0, x), (1, y), (1, None), (None, x)], key=str)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, x) for x in range(2001, 2100)]
