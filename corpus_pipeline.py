@@ -52,9 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to documents."""
+    """All stages, applied to documents. A stage's table goes as soon as the next one's is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = saved = None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
+        now = scratch.save(stage(spark, docs, sf_dir), name)
+        if saved is not None:
+            scratch.drop(saved)
+        docs = saved = now
     return docs
