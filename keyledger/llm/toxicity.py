@@ -8,6 +8,7 @@ sample of labelled rows, keeps the features that tell most, and scores every tex
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +17,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyledger.llm.common import arrow_map, flag, held, texts_of
+from keyledger.llm.common import Scratch, arrow_map, flag, held, texts_of
 
 #: Labelled rows that the model is fitted on, and features it keeps, at most.
 SAMPLE, FEATURES = 6_000, 1_000
 STARTS = (4, 5, 6, 7)
+#: A feature is kept if it is in so many rows, and tells that much by chi-square.
+LEAST, TELLING = 4, 6.6
 _WORD = re.compile(r"\w+")
 
 
@@ -72,9 +75,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grades: int, features: i
     n, k = len(rows), int((y > 0).sum())
     expected = there * k / n
     chi = (hits - expected) ** 2 / (expected * (1 - k / n) * (1 - there / n) + 1e-9)
-    chi[there < 4] = 0
+    chi[there < LEAST] = 0
     best = np.argsort(-chi, kind="stable")[:features]
-    best = best[chi[best] > 6.6]
+    best = best[chi[best] > TELLING]
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
     used = place[column] >= 0
@@ -117,13 +120,37 @@ def train(docs: DataFrame, labels: DataFrame, grade: Column, grades: int, id_col
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     picked = slim.join(F.broadcast(known), "id").select("id", "grade", "text")  # at most 1.1 * sample rows of two numbers
 
-    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [counted(words_of(t)) for t in texts_of(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[i].astype(np.int64).tobytes() for x in found], pa.binary()) for i in (0, 1))], ["id", "grade", "f", "n"])
-
-    table = arrow_map(picked, features, "id long, grade int, f binary, n binary").toArrow()
-    rows = zip(*(table.column(c).to_pylist() for c in ("id", "f", "n", "grade")), strict=True)
-    return fit([(np.frombuffer(f, np.int64), np.frombuffer(m, np.int64), g) for _, f, m, g in sorted(rows, key=lambda r: r[:2])], grades)
+    def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            found = [counted(words_of(t)) for t in texts_of(part.column(2))]
+            stops = pa.array(np.cumsum([0, *(len(f) for f, _ in found)]).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(stops, pa.array(np.concatenate([x[m] for x in found]))) for m in (0, 1))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["id", "grade", "f", "n"])
+
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.save(arrow_map(picked, features, "id long, grade int, f array<long>, n array<long>"), "sample")
+    total, graded = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("grade") > 0).cast("int")), F.lit(0))).first()
+    best: list[int] = []
+    if 0 < graded < total:  # of all features the driver gets those that the fit keeps
+        seen = rows.select("grade", F.explode("f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("there"), F.sum((F.col("grade") > 0).cast("int")).alias("hits"))
+        expected, there = F.col("there") * F.lit(graded / total), F.col("there")
+        chi = (F.col("hits") - expected) ** 2 / (expected * F.lit(1 - graded / total) * (1 - there / total) + 1e-9)
+        best = [r.f for r in seen.where(there >= LEAST).withColumn("chi", chi).where(F.col("chi") > TELLING).orderBy(F.desc("chi"), "f").limit(FEATURES).select("f").collect()]
+    kept = np.array(sorted(best), np.int64)
+
+    def few(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for f, n in zip(batch.column(2), batch.column(3), strict=True):
+            f, n = f.values.to_numpy(), n.values.to_numpy()
+            at = np.isin(f, kept)
+            out.append((f[at], n[at]))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[m] for x in out], pa.list_(pa.int64())) for m in (0, 1))], ["id", "grade", "f", "n"])
+
+    table = arrow_map(rows, few, "id long, grade int, f array<long>, n array<long>").toArrow()
+    scratch.drop(rows)
+    found = sorted(zip(*(table.column(c).to_pylist() for c in ("id", "f", "n", "grade")), strict=True))
+    return fit([(np.array(f, np.int64), np.array(m, np.int64), g) for _, f, m, g in found], grades)
 
 
 class _Weights(dict):
@@ -196,7 +223,7 @@ def train_from_tables(docs: DataFrame, sf_dir: str) -> OrdinalModel:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Severity of `documents`."""
+    """Severity of `documents`. `labels` names no grades: they are made here as not toxic, toxic, and toxic with quality 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return severity(docs, train_from_tables(docs, sf_dir))
 
