@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keyledger.errors import LedgerClosed, NotAppendable
 from keyledger.functions import keys
@@ -40,6 +43,7 @@ class Engine:
         self.spark, self.settings = spark, settings
         self.store = store or ParquetStore(spark, f"{settings.path.rstrip('/')}/{settings.name}", settings.value_type, settings.num_buckets)
         self._dispatcher, self._listeners, self._waiting, self._closed = dispatcher, [], [], False
+        self._merged, self._bytes = [], [0, 0]
 
     @property
     def name(self) -> str:
@@ -61,12 +65,16 @@ class Engine:
             f({"ledger": self.name} | event)
 
     def put(self, log: DataFrame) -> None:
-        """Adds a log to those that wait; `seq` orders them."""
+        """Adds a log to those that wait; `seq` orders them. More than `merge_bytes` of keys and values, or of auxiliary data, that wait are merged."""
         if self._closed:
             raise LedgerClosed(f"{self.name} is closed")
         if log is not None:
+            sizes = log.agg(F.coalesce(F.sum(keys.buffer_bytes("value")), F.lit(0)), F.coalesce(F.sum(keys.value_bytes("aux")), F.lit(0))).first()
+            self._bytes = [x + y for x, y in zip(self._bytes, sizes, strict=True)]
             self._waiting.append(log)
             self._tell(kind="put", waiting=len(self._waiting))
+            if max(self._bytes) > self.settings.merge_bytes:
+                self._merge()
 
     def _typed(self) -> dict:
         return {"value_type": self.settings.value_type, "aux_type": self.settings.aux_type}
@@ -85,10 +93,17 @@ class Engine:
             raise NotAppendable(f"{self.name} has no combiner")
         self.put(oplog.append_update(df, key, seq, value, aux, **self._typed()))
 
+    def _merge(self) -> None:
+        """Merges what waits. Operations wait on if that fails."""
+        if self._waiting:
+            self._merged.append(self.apply(oplog.concat_logs(*self._waiting)))
+            self._waiting, self._bytes = [], [0, 0]
+
     def flush(self) -> DataFrame | None:
-        """Merges what waits; its results, or none."""
-        logs, self._waiting = self._waiting, []
-        return self.apply(oplog.concat_logs(*logs)) if logs else None
+        """Merges what waits; the results since the last flush, those of merges that `put` made too, or none."""
+        self._merge()
+        done, self._merged = self._merged, []
+        return functools.reduce(DataFrame.unionByName, done) if done else None
 
     def apply(self, log: DataFrame) -> DataFrame:
         """Merges one log, commits the new store, and returns the results as read back from disk: all or nothing."""
@@ -96,9 +111,10 @@ class Engine:
             raise LedgerClosed(f"{self.name} is closed")
         self._tell(kind="merging")
         results, after = merge(self.store.read(), log, self.settings.combine)
-        out = f"{self.store.path}/_results/{len(self.store.versions()) and self.store.versions()[-1] + 1}"
+        found = self.store.versions()
+        out = f"{self.store.path}/_results/{found[-1] + 1 if found else 0}-{uuid.uuid4().hex}"
         results.write.mode("overwrite").parquet(out)
-        number = self.store.commit(after)
+        number = self.store.commit(after, after_version=found[-1] if found else -1)
         done = self.spark.read.parquet(out)
         if self._dispatcher:
             self._dispatcher(done)

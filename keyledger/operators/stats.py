@@ -27,16 +27,15 @@ def buffered_bytes(log: DataFrame, num_buckets: int) -> DataFrame:
 def buffer_state_changes(log: DataFrame, num_buckets: int, limit: int) -> DataFrame:
     """Operations at which a bucket's buffer passes from one state to another.
 
-    A bucket that passes the limit merges, and the next operation finds it empty again: so the running total since the
-    last merge is the running total minus what the merges took. It is cut by whole limits, which depends on nothing but
-    the order of arrival: round r of a bucket holds the operations whose running total lies in the r-th limit.
+    A bucket is EMPTY before its first operation. While nothing is taken out of it, it is WITHIN_LIMIT as long as neither its bytes of keys and values
+    nor those of auxiliary data are more than the limit, and EXCEEDED_LIMIT from then on. Equal to the limit is within.
     """
     w = W.partitionBy("bucket").orderBy("seq")
-    rows = with_bucket(log, num_buckets).withColumn("total", F.sum(keys.buffer_bytes("value")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("round", F.floor(F.col("total") / limit).cast("long"))
-    rows = rows.withColumn("state", F.when(F.col("round") > F.coalesce(F.lag("round").over(w), F.lit(0)), "EXCEEDED_LIMIT").otherwise("WITHIN_LIMIT"))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    rows = with_bucket(log, num_buckets).withColumns({"total": F.sum(keys.buffer_bytes("value")).over(upto), "aux_total": F.sum(keys.value_bytes("aux")).over(upto)})
+    rows = rows.withColumn("state", F.when((F.col("total") > limit) | (F.col("aux_total") > limit), "EXCEEDED_LIMIT").otherwise("WITHIN_LIMIT"))
     rows = rows.withColumn("before", F.coalesce(F.lag("state").over(w), F.lit("EMPTY")))
-    return rows.where(F.col("state") != F.col("before")).select("bucket", "seq", "state", "total")
+    return rows.where(F.col("state") != F.col("before")).select("bucket", "seq", "state", "total", "aux_total")
 
 
 def store_length(store: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Versioned stores: each commit writes a new Parquet snapshot, then one small file that names it.
 
-Layout: ``<path>/v=<n>/bucket=<b>/*.parquet`` sorted by key in each file, and ``<path>/_commits/<n>`` written last.
+Layout: ``<path>/v<n>-<unique>/bucket=<b>/*.parquet`` sorted by key in each file, and ``<path>/_commits/<n>``, which names it, written last.
 The current version is the highest commit, so a writer that dies leaves the old version in force. All files go
 through Hadoop's file system API: the path may be on any store that Spark reaches. Buckets are ranges of keys, so
 a lookup of one key reads one bucket.
@@ -9,7 +9,9 @@ a lookup of one key reads one bucket.
 from __future__ import annotations
 
 import json
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +34,17 @@ class ParquetStore:
 
     def versions(self) -> list[int]:
         """Committed versions, ascending."""
-        names = (s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/_commits")))
+        # an empty file is a commit that is being written
+        names = (s.getPath().getName() for s in self._fs.listStatus(self._at(f"{self.path}/_commits")) if s.getLen())
         return sorted(int(n) for n in names if n.isdigit())
 
     def notes(self) -> dict:
         """What the current commit says of itself; empty before the first."""
-        if not (found := self.versions()):
-            return {}
-        stream = self._fs.open(self._at(f"{self.path}/_commits/{found[-1]}"))
+        found = self.versions()
+        return self._commit(found[-1])["notes"] if found else {}
+
+    def _commit(self, number: int) -> dict:
+        stream = self._fs.open(self._at(f"{self.path}/_commits/{number}"))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
@@ -50,31 +55,37 @@ class ParquetStore:
         found = self.versions()
         if not found:
             return self.spark.createDataFrame([], f"bucket long, key long, value {self.value_type}")
-        return self.spark.read.schema(f"key long, value {self.value_type}, bucket long").parquet(f"{self.path}/v={found[-1]}").select("bucket", "key", "value")
+        return self.spark.read.schema(f"key long, value {self.value_type}, bucket long").parquet(f"{self.path}/{self._commit(found[-1])['directory']}").select("bucket", "key", "value")
 
     def lookup(self, key: int) -> DataFrame:
         """The entry of one key, if any: one bucket is read, and of it the row groups that may hold the key."""
         bucket = (key >> (64 - keys.bucket_bits(self.num_buckets))) + self.num_buckets // 2 if self.num_buckets > 1 else 0
         return self.read().where((F.col("bucket") == bucket) & (F.col("key") == key))
 
-    def commit(self, entries: DataFrame, **notes) -> int:
-        """Writes the next version and makes it current."""
+    def commit(self, entries: DataFrame, after_version: int | None = None, **notes) -> int:
+        """Writes the next version to a directory of its own and makes it current, by a file that one writer only can create.
+
+        after_version: the version that `entries` were made from (-1: none); by default the current one. Of two writers after one version the later fails.
+        """
         found = self.versions()
-        number = found[-1] + 1 if found else 0
-        target = f"{self.path}/v={number}"
+        number = 1 + (after_version if after_version is not None else found[-1] if found else -1)
+        directory = f"v{number}-{uuid.uuid4().hex}"
+        target = f"{self.path}/{directory}"
         rows = entries.select("key", F.col("value").cast(self.value_type).alias("value"), keys.range_bucket("key", self.num_buckets).alias("bucket"))
         # by range of the key, not by bucket: a bucket with most keys is still written by many tasks
         rows.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(target)
         self._fs.mkdirs(self._at(target))
-        temp = self._at(f"{self.path}/_commits/.{number}.tmp")
-        out = self._fs.create(temp, True)
-        out.write(bytearray(json.dumps(notes).encode()))
+        try:
+            out = self._fs.create(self._at(f"{self.path}/_commits/{number}"), False)
+        except Py4JJavaError as e:
+            self._fs.delete(self._at(target), True)
+            raise LedgerError(f"version {number} of {self.path} was committed by another writer") from e
+        out.write(bytearray(json.dumps({"directory": directory, "notes": notes}).encode()))
         out.close()
-        if not self._fs.rename(temp, self._at(f"{self.path}/_commits/{number}")):
-            raise LedgerError(f"version {number} of {self.path} was committed by another writer")
         for old in found[: len(found) + 1 - self.keep]:
+            gone = self._commit(old)["directory"]
             self._fs.delete(self._at(f"{self.path}/_commits/{old}"), False)
-            self._fs.delete(self._at(f"{self.path}/v={old}"), True)
+            self._fs.delete(self._at(f"{self.path}/{gone}"), True)
         return number
 
     def count(self) -> int:

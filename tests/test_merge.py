@@ -86,12 +86,16 @@ def test_combiners(spark, name, fold):
 
 
 def test_record_sets(spark):
+    rnd = random.Random(21)
     kind = "struct<hash: long, budget: int, neighbours: array<long>>"
-    store = spark.createDataFrame([(1, (1, 7, [3, 7])), (5, (5, 7, [2, 19])), (76, (76, 7, [5, 13, 22, 88]))], f"key long, value {kind}")
-    log = spark.createDataFrame([(0, "a", 5, (5, 9, [2, 3, 7, 88]), None), (1, "a", 76, (76, 9, [4, 13]), None)], f"seq long, op string, key long, value {kind}, aux string")
-    _, after = merge(store, log, combine.struct_union("neighbours"))
-    got = {r.key: (r.value.budget, r.value.neighbours) for r in after.collect()}
-    assert got == {1: (7, [3, 7]), 5: (7, [2, 3, 7, 19, 88]), 76: (7, [4, 5, 13, 22, 88])}
+    record = lambda k: (k, rnd.randrange(9), sorted(rnd.sample(range(40), rnd.randint(1, 6))))
+    stored = {k: record(k) for k in range(0, 12, 2)}
+    log = [(n, "a", k, record(k), None) for n, k in enumerate(rnd.choices(range(12), k=30))]
+    want = {k: set(v[2]) for k, v in stored.items()}
+    for _, _, k, v, _ in log:
+        want.setdefault(k, set()).update(v[2])
+    _, after = merge(spark.createDataFrame(list(stored.items()), f"key long, value {kind}"), spark.createDataFrame(log, f"seq long, op string, key long, value {kind}, aux string"), combine.struct_union("neighbours"))
+    assert {r.key: r.value.neighbours for r in after.collect()} == {k: sorted(v) for k, v in want.items()}
 
 
 def test_bad_rows_fail(spark):
@@ -116,17 +120,57 @@ def test_url_seen_and_empty_text(spark):
 
 
 def test_store_lengths(spark, tmp_path):
-    steps = [
-        ([("tuwien", None), ("univie", None), ("winf", None), ("sun", None), ("tuwien", "Test")], 52),
-        ([("krone", None), ("univie", "Noch ein Test"), ("winf", "test2"), ("oracle", None), ("google", None)], 106),
-        ([("univie", "test3")], 98), ([("univie", None)], 93), ([("univie", "Noch ein Test")], 106), ([("winf", "test")], 105), ([("winf", None)], 101), ([("winf", "test")], 105),
-    ]
-    with Engine(spark, Settings("urls", str(tmp_path), num_buckets=4)) as engine:
-        for writes, want in steps:
-            df = spark.createDataFrame([(i, *w) for i, w in enumerate(writes)], "n long, t string, v string").withColumn("k", keys.string_key("t"))
-            engine.update(df, "k", "n", "v")
+    rnd, model = random.Random(22), {}
+    with Engine(spark, Settings("lengths", str(tmp_path), num_buckets=4)) as engine:
+        for _ in range(3):
+            writes = [(rnd.randrange(15), rnd.choice((None, "x" * rnd.randint(1, 30), "ö"))) for _ in range(8)]
+            model |= dict(writes)
+            engine.update(spark.createDataFrame([(i, *w) for i, w in enumerate(writes)], "n long, k long, v string"), "k", "n", "v")
             engine.flush()
-            assert engine.statistics().first().n_bytes == want
+            assert tuple(engine.statistics().first()) == (len(model), sum(12 + len((v or "").encode()) for v in model.values()))
+
+
+def test_put_merges_when_enough_waits(spark, tmp_path):
+    told = []
+    engine = Engine(spark, Settings("full", str(tmp_path), num_buckets=2, merge_bytes=64))
+    engine.add_listener(lambda e: told.append(e["kind"]))
+    one = lambda n, v: spark.createDataFrame([(n, n, v)], "n long, k long, v string")
+    engine.update(one(1, "x" * 56), "k", "n", "v")  # 64 bytes with the key: not more than the limit
+    assert "merging" not in told
+    engine.check(one(2, None), "k", "n")
+    assert told.count("merging") == 1
+    engine.check(one(1, None), "k", "n")
+    assert sorted((r.seq, r.op, r.result) for r in engine.flush().collect()) == [(1, "c", "DUPLICATE_KEY"), (1, "u", None), (2, "c", "UNIQUE_KEY")] and engine.flush() is None
+
+
+def test_failed_merge_keeps_its_operations(spark, tmp_path):
+    engine = Engine(spark, Settings("kept", str(tmp_path), num_buckets=2))
+    engine.update(spark.createDataFrame([(1, 1, "v")], "n long, k long, v string"), "k", "n", "v")
+    commit, engine.store.commit = engine.store.commit, lambda *a, **k: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        engine.flush()
+    engine.store.commit = commit
+    engine.flush()
+    assert [(r.key, r.value) for r in engine.store.read().collect()] == [(1, "v")]
+
+
+def test_of_two_writers_the_later_fails(spark, tmp_path):
+    from keyledger.errors import LedgerError
+
+    one, two = (ParquetStore(spark, str(tmp_path / "w"), num_buckets=2) for _ in range(2))
+    one.commit(spark.createDataFrame([(1, "first")], "key long, value string"), after_version=-1)
+    with pytest.raises(LedgerError):
+        two.commit(spark.createDataFrame([(1, "second")], "key long, value string"), after_version=-1)
+    assert [(r.key, r.value) for r in two.read().collect()] == [(1, "first")]
+
+
+def test_buffer_states_at_the_limit(spark):
+    from keyledger.operators import stats
+
+    log = spark.createDataFrame([(0, "u", 1, "x" * 56, None), (1, "u", 1, None, None), (2, "u", 1, None, None)], TEXT)
+    assert [(r.seq, r.state) for r in stats.buffer_state_changes(log, 1, 64).orderBy("seq").collect()] == [(0, "WITHIN_LIMIT"), (1, "EXCEEDED_LIMIT")]
+    aux = spark.createDataFrame([(0, "c", 1, None, "a" * 65)], TEXT)
+    assert [(r.seq, r.state) for r in stats.buffer_state_changes(aux, 1, 64).collect()] == [(0, "EXCEEDED_LIMIT")]
 
 
 def test_engine_lifecycle(spark, tmp_path):
