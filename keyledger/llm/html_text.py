@@ -24,10 +24,13 @@ from keyledger.llm.common import arrow_map, texts_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template title textarea iframe".split())
 SKIP = frozenset("svg object select".split())  # their text is none of the page's, but they nest and may be empty
-_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?i:({"|".join(sorted(RAW))}))(?=[\s/>])[^>]*>(?:.*?</(?i:\1)[^>]*>|.*\Z)""" + r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)""", re.S)
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?i:({"|".join(sorted(RAW))}))(?=[\s/>])[^>]*>(?:.*?</(?i:\1)(?=[\s/>])[^>]*(?:>|\Z)|.*\Z)""" + r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)""", re.S)
+#: A tag that closes itself: its slash is no part of a value without quotes.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+DEEPEST = 512  # ancestors that a block's path names; what lies deeper is read all the same
 NO_NEST = frozenset("p li dt dd td th tr option".split())
 
 
@@ -41,7 +44,7 @@ class Block:
 
 
 def parse(page: str | None) -> list[Block]:
-    """Blocks of a page in order; of null or empty none. Malformed markup is read as far as it goes."""
+    """Blocks of a page in order; of null or empty none. Malformed markup is read as far as it goes; a tag that the page's end cuts off is none."""
     out: list[Block] = []
     if not page:
         return out
@@ -50,6 +53,21 @@ def parse(page: str | None) -> list[Block]:
     buffer: list[str] = []
     linked = anchor = hidden = 0
 
+    open_: dict[str, int] = {}
+    within: list[str] = []
+
+    def close(tag: str) -> bool:
+        """Ends the innermost element; whether it is a `tag`."""
+        nonlocal path, anchor, hidden
+        ended, _, link = stack.pop()
+        open_[ended] -= 1
+        if ended not in INLINE:
+            within.pop()
+        anchor -= link
+        hidden -= ended in SKIP
+        path = stack[-1][1] if stack else ()
+        return ended == tag
+
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(buffer).split())
@@ -81,30 +99,23 @@ def parse(page: str | None) -> list[Block]:
         elif tag == "br":
             buffer.append(" ")
         if end1 or end2:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    anchor -= sum(x[2] for x in stack[k:])
-                    hidden -= sum(x[0] in SKIP for x in stack[k:])
-                    del stack[k:]
-                    path = stack[-1][1] if stack else ()
-                    break
+            if open_.get(tag):  # else nothing ends
+                while not close(tag):
+                    pass
             continue
-        if tag in VOID or attrs and attrs.rstrip().endswith("/"):
+        if tag in VOID or attrs and attrs.rstrip()[-1:] == "/" and _CLOSED.search(attrs):
             continue
         if not inline:
-            for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends where a block begins
-                over = stack[k][0]
-                if over == "p" or over == tag and tag in NO_NEST:
-                    anchor -= sum(x[2] for x in stack[k:])
-                    hidden -= sum(x[0] in SKIP for x in stack[k:])
-                    del stack[k:]
-                    path = stack[-1][1] if stack else ()
-                    break
-                if over not in INLINE:
-                    break
+            over = within[-1] if within else ""  # the innermost open block
+            if over == "p" or over == tag and tag in NO_NEST:  # ends where this one begins
+                while not close(over):
+                    pass
             names = tuple(p.lower() for a in _NAMES.findall(attrs) for p in _PARTS.findall(a[0] or a[1] or a[2])) if attrs else ()
-            path += ((tag, names),)
+            if len(path) < DEEPEST:
+                path += ((tag, names),)
+            within.append(tag)
         stack.append((tag, path, tag == "a"))
+        open_[tag] = open_.get(tag, 0) + 1
         anchor += tag == "a"
         hidden += tag in SKIP
     flush()
@@ -180,7 +191,7 @@ def labelled_page(rnd: random.Random) -> list[tuple[str, int]]:
         add(f"{body}</{tag}>" if rnd.random() < 0.97 or kind in ("footer",) else f"{body}</{tag}>")
 
     def article() -> None:
-        opening = rnd.choice(("<article>", "<article>", '<article class="post">', "<main><article>", "<main>", named(("content", "post", "entry-content", "article-body", "main", "story"))))
+        opening = rnd.choice(("<article>", "<article>", '<article class="post">', "<main><article>", "<main>", named(("content", "post", "entry-content", "article-body", "main", "story")), named((f"{word()}-{word()}", f"story-{word()}", f"{word()}-text"))))
         add(opening, 1)
         if rnd.random() < 0.8:
             add(rnd.choice(("<h1>{}</h1>", "<header><h1>{}</h1></header>", "<h1><b>{}</b></h1>")).format(text(2, 12, rnd.choice(("", ".")))), 1)

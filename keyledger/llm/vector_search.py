@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from keyledger.llm.common import Scratch
 
 LEAF, SHARD, BLOCK = 256, 32_768, 2_048
-NONE = -(2**62)
+_MOST = 2**63 - 2  # negated in sorting
+NONE = -_MOST
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -30,6 +31,7 @@ class KDTree:
         self.x, self.lo, self.hi, self.kids, self.rows = x, [], [], [], []
         self._build(np.arange(len(x)))
         self.lo, self.hi = np.array(self.lo), np.array(self.hi)
+        self.most = max(float(np.abs(self.lo[0].astype(float)).max()), float(np.abs(self.hi[0].astype(float)).max()))
 
     def _build(self, rows: np.ndarray) -> int:
         part = self.x[rows]
@@ -39,7 +41,7 @@ class KDTree:
         self.hi.append(hi)
         self.kids.append(())
         self.rows.append(None)
-        wide = int((hi - lo).argmax())
+        wide = int((hi.astype(float) - lo).argmax())
         if len(rows) <= LEAF or hi[wide] == lo[wide]:
             self.rows[me] = rows
             return me
@@ -51,16 +53,20 @@ class KDTree:
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """The most that a point of each node could score with each query, rounded up past any error of the float product."""
         up, down = np.maximum(q, 0).astype(float), np.minimum(q, 0).astype(float)
-        b = up @ self.hi.T.astype(float) + down @ self.lo.T.astype(float)
-        return b + np.abs(b) * 1e-9 + 1e-6
+        hi, lo = self.hi.T.astype(float), self.lo.T.astype(float)
+        size = up @ np.abs(hi) - down @ np.abs(lo)  # of the terms, whatever they cancel
+        return up @ hi + down @ lo + size * 1e-12 + 1e-6
 
     def search(self, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, own: int, k: int, floor: int) -> list[tuple[int, int]]:
         """`(score, id)` of the k best, larger scores first and ties to smaller ids; `floor`: a score that k others reach already."""
         best: list[tuple[int, int]] = []  # a heap of (score, -id), the worst on top
+        wide = float(np.abs(q.astype(float)).max()) * self.most * len(q) >= 2.0**62
         todo = [(-bounds[0], 0)]
         while todo:
             bound, node = heapq.heappop(todo)
             least = max(floor, best[0][0]) if len(best) == k else floor
+            if least <= NONE:  # no bound, as what lies beyond ties with it
+                least = -(2**200)
             if -bound < least:
                 break
             if self.kids[node]:
@@ -69,10 +75,10 @@ class KDTree:
                         heapq.heappush(todo, (-bounds[kid], kid))
                 continue
             rows = self.rows[node]
-            scores = self.x[rows] @ q
+            scores = self.x[rows].astype(object) @ q.astype(object) if wide else self.x[rows] @ q
             for at in np.flatnonzero(scores >= least):
                 i = int(ids[rows[at]])
-                entry = (int(scores[at]), -i)
+                entry = (max(-_MOST, min(_MOST, int(scores[at]))), -i)
                 if i == own:
                     continue
                 if len(best) < k:
@@ -122,14 +128,13 @@ def top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     """query_id, rank (from 1), vec_id, score: of each query's other vectors the k with the highest integer inner product, ties to smaller ids.
 
     Vectors that are null, hold null or non-finite components, or have a null id take no part; vectors of another length aren't compared. Equal
-    ids count as the query's own. Fewer than k others are all given. Scaled components must be below 2**24, so that scores are exact.
+    ids count as the query's own. Fewer than k others are all given. Scores are exact, in whole numbers of any size where 64 bits may not do; scaled components
+    beyond 64 bits, and scores beyond, are given as the last number within.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     flagged = vectors.withColumn("__q", F.coalesce(is_query, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), "__q", scaled(vector_col, by).alias("v"))
     clean = flagged.where("id is not null and v is not null and size(v) > 0").withColumn("dim", F.size("v"))
-    wide = F.exists("v", lambda c: F.abs(c) >= 2**24)
-    clean = clean.withColumn("v", F.when(wide, F.raise_error(F.lit("a scaled component is too large"))).otherwise(F.col("v")))
     clean = scratch.save(clean, "clean")
     n, m = clean.agg(F.count(F.lit(1)), F.sum(F.col("__q").cast("int"))).first()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-(m or 0) // BLOCK))

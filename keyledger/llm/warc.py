@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from keyledger.llm.common import Scratch, texts_of
 
 LEAST_REVISIT = 100
+TASKS = 20_000  # of a read, at most
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string, refers_to long"
 _BREAKS = re.compile(r"[\x00-\x1f\x7f]")
 
@@ -34,12 +35,12 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record; a revisit has no block. Control characters of the URL are escaped, for headers are lines."""
     kind = "response" if refers_to is None else "revisit"
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id, digest)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + _BREAKS.sub(lambda m: f"%{ord(m[0]):02X}", url))
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to, digest)}"]
         payload = b""
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -63,9 +64,18 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def _name(page_id: int | None, digest: str) -> str:
+    """A record's name: of its page and payload, as ids may repeat."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:32]}>"
+
+
+_NAME = re.compile(r"<urn:page:(-?\d+):")
+
+
 def _number(urn: str) -> int | None:
-    text = urn[len("<urn:page:") : -1]
-    return None if text == "None" else int(text)
+    """The page of a record's name; none in names that others gave."""
+    found = _NAME.match(urn)
+    return int(found[1]) if found else None
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
@@ -122,7 +132,9 @@ def read_records(index: DataFrame, path: str, gap: int = 65_536, most: int = 8_3
     rows = index.select("file", "offset", "length").distinct()
     rows = rows.withColumn("far", F.coalesce(start, F.lit(True)).cast("int")).withColumn("part", F.sum("far").over(order))
     ranges = rows.groupBy("file", "part", F.expr(f"offset div {most}").alias("piece")).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("records"))
-    ranges = ranges.select("file", "records").repartition("file", F.col("records")[0]["offset"])
+    # by the bytes that are to be read, of which the descriptors' own size tells nothing
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ranges = ranges.select("file", "records").repartition(min(TASKS, 1 + total // most), "file", F.col("records")[0]["offset"])
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +148,15 @@ def read_records(index: DataFrame, path: str, gap: int = 65_536, most: int = 8_3
                 out = []
                 for r in records:
                     headers, block = parse(zlib.decompress(data[r["offset"] - begin : r["offset"] - begin + r["length"]], 31))
-                    digest, n = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"])
-                    kind = headers["warc-type"]
-                    if kind == "response" and (len(block) != n or hashlib.sha256(block).hexdigest() != digest):
+                    kind, own = headers["warc-type"], hashlib.sha256(block).hexdigest()
+                    # records of other writers may name another digest, and no length
+                    name, told = headers.get("warc-payload-digest", ""), headers.get("x-payload-length")
+                    digest = name.removeprefix("sha256:") if name.startswith("sha256:") else own if kind == "response" else None
+                    n = int(told) if told else len(block) if kind == "response" else None
+                    if kind == "response" and (len(block) != n or own != digest):
                         raise ValueError(f"a record of {batch.column(0)[i]} is damaged")
                     refers = headers.get("warc-refers-to")
-                    out.append((_number(headers["warc-record-id"]), headers.get("warc-target-uri"), kind, _number(refers) if refers else None, n, digest, block if kind == "response" else None))
+                    out.append((_number(headers.get("warc-record-id", "")), headers.get("warc-target-uri"), kind, _number(refers) if refers else None, n, digest, block if kind == "response" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return ranges.mapInArrow(fetch, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")

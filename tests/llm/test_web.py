@@ -143,3 +143,52 @@ def test_extract(spark, field):
     assert len(got) == 6 and texts == [want] * 2 and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.text for r in got}[2] == "" and len({r.page_id: r.text for r in got}[4]) > 300_000
     assert H.extract(spark.createDataFrame([], df.schema), field).collect() == []
+
+
+def test_malformed_pages_take_time_in_proportion():
+    import time
+
+    for unit in ('<a b="x" ', "<!", "<script></script ", '<p>x</p><a b="', "<b><p>", "<div><i>", '<a "', "</q><q><p>"):
+        began = time.perf_counter()
+        H.parse(unit * (1_000_000 // len(unit)))
+        assert time.perf_counter() - began < 30, unit
+    one, two = H.parse("<p>one <a href=/foo/>two</a></p><svg/><p>three <b")
+    assert (one.text, one.linked, two.text) == ("one two", 3, "three")
+
+
+def test_article_in_a_container_that_no_name_tells():
+    rnd = random.Random(31)
+    say = lambda n: " ".join(rnd.choice("many of these words were made up to fill lines on some page about nothing at all".split()) for _ in range(n)).capitalize() + "."
+    field, found, wrong = H.default_field(), 0, 0
+    for _ in range(40):  # pages of another make than those of the training
+        parts = [say(rnd.randint(25, 90)) for _ in range(rnd.randint(2, 7))]
+        name = rnd.choice(("story-text", "readable", "bodycopy", "txt", "main-col"))
+        page = f'<body><div class="navbar"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div><div class="{name}"><h1>{say(6)}</h1>' + "".join(f"<p>{x}</p>" for x in parts) + f'</div><div class="comments"><div class="comment"><p>{say(20)}</p></div></div><footer><p>&copy; {say(5)}</p></footer></body>'
+        text = H.main_text(page, field)
+        found += sum(x in text for x in parts)
+        wrong += len(parts) - sum(x in text for x in parts) + ("Home" in text) + ("\u00a9" in text)
+    assert wrong <= 0.03 * found
+
+
+def test_wide_vectors(spark):
+    rows = [(0, [1e15, -1e15, 3.0]), (1, [1e15, 1e15, 1.0]), (2, [1e300, 0.0, 0.0]), (3, [65536.0, 70000.5, -2.0]), (4, [0.5, 0.25, 1e9]), (100, [2.0, 3.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): (r["rank"], r.score) for r in V.top_k(df, df.vec_id % 50 == 0).collect()}
+    import math
+
+    most, whole = 2**63 - 2, {i: [max(-(2**63), min(2**63 - 1, math.floor(256 * x))) for x in v] for i, v in rows}
+    for q in (0, 100):
+        best = sorted((-max(-most, min(most, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q)
+        assert {(k, i): (n, -s) for n, (s, i) in enumerate(best, 1) for k in [q]} == {k: v for k, v in got.items() if k[0] == q}
+
+
+def test_records_of_other_writers(tmp_path, spark):
+    import hashlib
+
+    block = b"<p>x</p>"
+    data = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a.example/\r\nContent-Length: 8\r\n\r\n" + block + b"\r\n\r\n"
+    raw = warc._member(data)
+    (tmp_path / "a.warc.gz").write_bytes(raw)
+    index = spark.createDataFrame([("a.warc.gz", 0, len(raw))], "file string, offset long, length long")
+    r = warc.read_records(index, str(tmp_path)).first()
+    assert (r.page_id, r.payload_bytes, r.payload_digest) == (None, 8, hashlib.sha256(block).hexdigest())
