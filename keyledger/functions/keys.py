@@ -1,4 +1,4 @@
-"""Key, bucket and codec functions as column expressions: no UDF, all inside code generation."""
+"""Key, bucket and codec functions as column expressions: no UDF, JVM-side (higher-order functions are interpreted)."""
 
 from __future__ import annotations
 
