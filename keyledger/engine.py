@@ -14,7 +14,7 @@ from keyledger.errors import LedgerClosed, NotAppendable
 from keyledger.functions import keys
 from keyledger.operators import oplog, stats
 from keyledger.operators.combine import Combiner, combiner as as_combiner
-from keyledger.operators.merge import merge
+from keyledger.operators.merge import merge_into
 from keyledger.sources.store import ParquetStore
 
 
@@ -110,12 +110,9 @@ class Engine:
         if self._closed:
             raise LedgerClosed(f"{self.name} is closed")
         self._tell(kind="merging")
-        results, after = merge(self.store.read(), log, self.settings.combine)
         found = self.store.versions()
         out = f"{self.store.path}/_results/{found[-1] + 1 if found else 0}-{uuid.uuid4().hex}"
-        results.write.mode("overwrite").parquet(out)
-        number = self.store.commit(after, after_version=found[-1] if found else -1)
-        done = self.spark.read.parquet(out)
+        done, number = merge_into(self.store, log, out, self.settings.combine)
         if self._dispatcher:
             self._dispatcher(done)
         if self._listeners:

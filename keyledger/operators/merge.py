@@ -4,15 +4,16 @@ The store's rows join the log as rows with ``op = 's'`` and ``seq = -1``, so tha
 together in order. The value an operation reports is the key's state right after it. Presence is tracked apart
 from the value, as stored values may be null.
 
-With `chunk`, a key's operations are dealt out by ranges of `chunk` consecutive `seq` values, and each range starts from a
-carried state: an aggregate of one row per key and range. So no task holds more of a hot key than a range,
-though its operations depend on each other in order. Replacing writes only need the last write of a range; appends
-need the merged values of a range since its last replacement, which are at most `chunk` values.
+Hot keys, those with more than `chunk` operations by a count of the log, are dealt out by ranges of `seq`, and each range starts
+from a carried state: an aggregate of one row per key and range. A key's ranges are equally wide and hold `chunk` operations on
+average, so one task holds a range of a hot key, not the key, though its operations depend on each other in order. Replacing writes only need
+the last write of a range; appends need the merged values of a range since its last replacement. All other keys
+go the short way, and results are the same for every `chunk`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,10 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyledger.errors import NotAppendable
+from keyledger.functions import keys
 from keyledger.operators import oplog
 from keyledger.operators.combine import Combiner, combiner as as_combiner
+from keyledger.sources.store import ParquetStore
 
 UNIQUE, DUPLICATE = "UNIQUE_KEY", "DUPLICATE_KEY"
+#: Operations of a key beyond which it is hot.
+HOT = 100_000
+#: Hot keys, of 24 bytes each, that may be broadcast.
+FEW = 10_000
 _REPLACES = ("u", "b")
 
 
@@ -45,7 +52,7 @@ def _states(rows: DataFrame, by: list[str], comb: Combiner | None) -> DataFrame:
     return rows.withColumns({"seen": seen, "seg": seg}).withColumn("state", comb.running(F.when(_writes(), F.col("value")), frame)).drop("seg")
 
 
-def _carried(seeded: DataFrame, chunk: int, comb: Combiner | None) -> DataFrame:
+def _carried(seeded: DataFrame, comb: Combiner | None) -> DataFrame:
     """A seed row per key and range of `seq`, with the state in which the range begins."""
     if comb is None:
         ends = seeded.where(_writes()).groupBy("key", "range").agg(F.max_by(F.struct("value"), "seq").alias("last"))
@@ -65,6 +72,19 @@ def _carried(seeded: DataFrame, chunk: int, comb: Combiner | None) -> DataFrame:
     return found.select(F.lit(-1).cast("long").alias("seq"), F.lit(oplog.SEED).alias("op"), "key", F.col("state").alias("value"), F.expr("seq div 2").alias("range"))
 
 
+def _hot(log: DataFrame, chunk: int) -> DataFrame | None:
+    """Keys with more than `chunk` operations, with the first `seq` and the width of their ranges; none if no key is hot.
+
+    One count of the log, in part before the shuffle. Up to `FEW` hot keys are broadcast, so that the log isn't shuffled for them; more are left to Spark.
+    """
+    found = log.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).where(F.col("n") > chunk)
+    found = found.select("key", "lo", F.greatest(F.expr(f"(hi - lo + 1) div ((n + {chunk - 1}) div {chunk})"), F.lit(1).cast("long")).alias("width"))
+    some = found.limit(FEW + 1).collect()
+    if len(some) > FEW:
+        return found
+    return F.broadcast(log.sparkSession.createDataFrame(some, found.schema)) if some else None
+
+
 def _folded(rows: DataFrame, comb: Combiner) -> DataFrame:
     """The same as `_states` for a Python combiner: a key's rows stream through in order, with one state in memory."""
     out = T.StructType([*rows.schema.fields, T.StructField("seen", T.BooleanType()), T.StructField("state", rows.schema["value"].dataType)])
@@ -93,11 +113,11 @@ def _folded(rows: DataFrame, comb: Combiner) -> DataFrame:
     return dealt.mapInPandas(walk, out)
 
 
-def merge(store: DataFrame, log: DataFrame, combine: str | Combiner | None = None, chunk: int | None = None, appends: bool | None = None) -> tuple[DataFrame, DataFrame]:
+def merge(store: DataFrame, log: DataFrame, combine: str | Combiner | None = None, chunk: int | None = HOT, appends: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Results of the log's operations, and the store after it.
 
     store: `key`, `value`; log: see `oplog`. combine: how appends merge; without one, set `appends` to false
-    (the default) and an append fails when it is met. Results: seq, op, key, result, value, aux, callback. Empty
+    (the default) and an append fails when it is met. chunk: see above; none splits no key. Results: seq, op, key, result, value, aux, callback. Empty
     inputs give empty results; other columns of the inputs are left out.
     """
     comb = as_combiner(combine)
@@ -113,10 +133,12 @@ def merge(store: DataFrame, log: DataFrame, combine: str | Combiner | None = Non
     if comb is not None and comb.fold is not None:
         done = _folded(rows, comb)
         last = done
-    elif chunk:
-        rows = rows.withColumn("range", F.when(F.col("seq") < 0, F.lit(-1)).otherwise(F.expr(f"seq div {int(chunk)}")).cast("long"))
-        carried = _carried(rows, chunk, comb).where(F.col("range") >= 0).withColumn("aux", F.lit(None).cast(log.schema["aux"].dataType))
-        done = _states(rows.where(F.col("range") >= 0).unionByName(carried), ["key", "range"], comb)
+    elif chunk and (found := _hot(log, int(chunk))) is not None:
+        place = F.when(F.col("width").isNull(), F.lit(0)).when(F.col("seq") < 0, F.lit(-1)).otherwise(F.expr("(seq - lo) div width"))
+        rows = rows.join(found, "key", "left").withColumn("range", place.cast("long"))
+        hot = rows.where(F.col("width").isNotNull()).drop("lo", "width")
+        carried = _carried(hot, comb).where(F.col("range") >= 0).withColumn("aux", F.lit(None).cast(log.schema["aux"].dataType))
+        done = _states(rows.where(F.col("range") >= 0).drop("lo", "width").unionByName(carried), ["key", "range"], comb)
         kept = seeds.withColumns({"range": F.lit(-1).cast("long"), "seen": F.lit(False), "state": F.col("value")})
         last = done.where(F.col("op") != oplog.SEED).unionByName(kept)
     else:
@@ -155,3 +177,27 @@ def final_store(store: DataFrame, log: DataFrame) -> DataFrame:
     log = oplog.normalise(log).where(_writes())
     rows = store.select("key", F.lit(-1).cast("long").alias("seq"), F.col("value").cast(log.schema["value"].dataType).alias("value")).unionByName(log.select("key", "seq", "value"))
     return rows.groupBy("key").agg(F.max_by(F.struct("value"), "seq").alias("x")).select("key", F.col("x.value").alias("value"))
+
+
+def merge_into(store: ParquetStore, log: DataFrame, out: str, combine: str | Combiner | None = None, chunk: int | None = HOT, before_commit: Callable[[DataFrame], None] | None = None, **notes) -> tuple[DataFrame, int]:
+    """Merges a log with a store on disk and commits: the results, as read back from `out`, and the number of the new version.
+
+    Only buckets that the log names are read, and of them only its keys are merged, once. The state after a write is its result, so the next
+    version comes from the results on disk: one more shuffle, of the buckets in which the log writes. The others keep their files.
+    The driver gets numbers of buckets, at most `num_buckets`.
+    """
+    spark, found = store.spark, store.versions()
+    before = found[-1] if found else -1
+    bucket = lambda df: {r[0] for r in df.select(keys.range_bucket("key", store.num_buckets)).distinct().collect()}
+    held = store.read(bucket(log)) if found else store.read()
+    asked = held.join(log.select(F.col("key").cast("long").alias("key")).distinct(), "key", "left_semi")
+    merge(asked, log, combine, chunk)[0].write.mode("overwrite").parquet(out)
+    done = spark.read.parquet(out)
+    if before_commit:
+        before_commit(done)
+    written = done.where(_writes()).groupBy("key").agg(F.max_by(F.struct("value"), "seq").alias("x")).select("key", F.col("x.value").alias("value"), F.lit(1).alias("age"))
+    touched = bucket(done.where(_writes()))
+    kept = store.read(touched).select("key", F.col("value").cast(written.schema["value"].dataType).alias("value"), F.lit(0).alias("age"))
+    rows = kept.unionByName(written).repartitionByRange("key").groupBy("key").agg(F.max_by(F.struct("value"), "age").alias("x"))
+    number = store.commit(rows.select("key", F.col("x.value").alias("value")), before, touched, dealt=True, **notes)
+    return done, number

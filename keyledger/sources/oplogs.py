@@ -30,18 +30,18 @@ def stream_log(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
-def dispatch(results: DataFrame, handlers: dict[str, Callable[[dict], None]]) -> None:
-    """Calls handlers by callback name, on the executors, per row; callbacks without a handler pass silently.
+def dispatch(results: DataFrame, handlers: dict[str, Callable[[dict], None]], num_buckets: int = 512) -> None:
+    """Calls handlers by callback name, on the executors, per row, in order of arrival within a bucket; callbacks without a handler pass silently.
 
-    Per partition, so that a handler can be any picklable client.
+    A bucket goes through one task, sorted by Spark, which spills, and row by row. Handlers can be any picklable clients.
     """
     wanted = results.where(F.col("callback").isin(*handlers)) if handlers else results.limit(0)
 
     def send(rows) -> None:
         for row in rows:
-            handlers[row["callback"]](row.asDict())
+            handlers[row["callback"]]({k: v for k, v in row.asDict().items() if k != "bucket"})
 
-    wanted.foreachPartition(send)
+    with_bucket(wanted, num_buckets).repartition("bucket").sortWithinPartitions("bucket", "seq").foreachPartition(send)
 
 
 def console(results: DataFrame, n: int = 20) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from keyledger.operators.combine import Combiner
-from keyledger.operators.merge import merge
+from keyledger.operators.merge import merge_into
 from keyledger.sources.store import ParquetStore
 
 
@@ -23,15 +23,10 @@ def start(log: DataFrame, store: ParquetStore, results_path: str, checkpoint: st
     def step(batch: DataFrame, number: int) -> None:
         if store.notes().get("batch", -1) >= number:
             return
-        spark = batch.sparkSession
         ops = batch.persist()
         try:
-            results, after = merge(store.read(), ops, combine)
             out = f"{results_path}/batch={number}"
-            results.write.mode("overwrite").parquet(out)
-            if on_batch:
-                on_batch(spark.read.parquet(out), number)
-            store.commit(after, batch=number)
+            merge_into(store, ops, out, combine, before_commit=on_batch and (lambda done: on_batch(done, number)), batch=number)
         finally:
             ops.unpersist()
 

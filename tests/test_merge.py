@@ -6,7 +6,8 @@ from keyledger import Engine, LedgerClosed, NotAppendable, merge
 from keyledger.engine import Settings
 from keyledger.functions import keys
 from keyledger.operators import combine, oplog
-from keyledger.operators.merge import check_only, final_store
+from keyledger.operators.merge import check_only, final_store, merge_into
+from keyledger.sources.oplogs import dispatch
 from keyledger.sources.store import ParquetStore
 
 LOG = "seq long, op string, key long, value array<long>, aux string"
@@ -202,3 +203,50 @@ def test_versions(spark, tmp_path):
     for i in range(4):
         store.commit(spark.createDataFrame([(i, str(i))], "key long, value string"), batch=i)
     assert store.versions() == [2, 3] and store.notes() == {"batch": 3} and [r.key for r in store.read().collect()] == [3]
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    store = ParquetStore(spark, str(tmp_path / "s"), num_buckets=4)
+    quarter = 2**62
+    keys_ = [-2 * quarter, -quarter, 0, quarter]  # one in each bucket
+    store.commit(spark.createDataFrame([(k, "old") for k in keys_], "key long, value string"))
+    files = lambda: {r.bucket: r.f for r in store.read().selectExpr("bucket", "input_file_name() f").collect()}
+    before = files()
+    log = spark.createDataFrame([(0, "u", 0, "new", None), (1, "c", quarter, None, None), (2, "u", 7, None, None)], TEXT)
+    done, number = merge_into(store, log, str(tmp_path / "out"))
+    assert number == 1 and sorted((r.seq, r.result) for r in done.collect() if r.result) == [(1, "DUPLICATE_KEY")]
+    assert {r.key: r.value for r in store.read().collect()} == {-2 * quarter: "old", -quarter: "old", 0: "new", 7: None, quarter: "old"}
+    assert {b for b, f in files().items() if f != before[b]} == {2}
+    for i in range(2):  # the first version goes, and what later ones still name stays
+        merge_into(store, spark.createDataFrame([(i, "u", -quarter, str(i), None)], TEXT), str(tmp_path / f"out{i}"))
+    assert files()[0] == before[0] and store.versions() == [2, 3] and store.count() == 5
+    assert ParquetStore(spark, str(tmp_path / "s"), num_buckets=16).lookup(quarter).first().value == "old"
+    checks = spark.createDataFrame([(0, "c", 5, None, None)], TEXT)
+    merge_into(store, checks, str(tmp_path / "c"))
+    assert store.versions() == [3, 4] and store.count() == 5
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_hot_keys_alone_are_dealt_out(spark, monkeypatch, few):
+    monkeypatch.setattr("keyledger.operators.merge.FEW", few)
+    rnd = random.Random(31)
+    hot = [(n * n, rnd.choice("cub"), 5, f"v{n}", None) for n in range(400)]  # gaps that grow
+    log = [(s, o, k, None if o == "c" else v, a) for s, o, k, v, a in hot + [(n, rnd.choice("cub"), 100 + n % 40, f"w{n}", None) for n in range(200)]]
+    store = [(5, "stored"), (101, None), (999, "alone")]
+    results, after = merge(spark.createDataFrame(store, "key long, value string"), spark.createDataFrame(log, TEXT), chunk=50)
+    want, state = model(store, log, None)
+    assert rows(results) == sorted(want) and {r.key: r.value for r in after.collect()} == state
+
+
+def test_dispatch_is_in_order_within_a_bucket(spark, tmp_path):
+    log = spark.createDataFrame([(n, "u", n % 3 - 1, str(n), None) for n in reversed(range(60))], TEXT)
+    results, _ = merge(spark.createDataFrame([], "key long, value string"), log)
+    out = str(tmp_path)
+
+    def note(row):
+        with open(f"{out}/{row['key'] < 0}", "a") as f:
+            f.write(f"{row['seq']}\n")
+
+    dispatch(results, {"update": note}, num_buckets=2)
+    for name, want in (("True", [n for n in range(60) if n % 3 == 0]), ("False", [n for n in range(60) if n % 3])):
+        assert [int(x) for x in open(f"{out}/{name}")] == want
