@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -209,7 +208,6 @@ class Classes:
             self.sides.append((limit, np.hstack([h, np.zeros((len(h), 1), h.dtype)]), np.hstack([g, np.zeros((len(g), EDIT + 1), g.dtype)]), h[:, : (RUN - SEED) // 2].astype(_U) @ _HALF))
         self._common: list[np.ndarray] | None = None
         self._bands = bands
-        self._lists: dict[int, tuple[list[int], frozenset]] = {}
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether pairs may share a paragraph: half of its other words at one side or the other."""
@@ -260,45 +258,59 @@ class Classes:
 
     def _grow(self, x: np.ndarray, y: np.ndarray, l: np.ndarray, r: np.ndarray, top: dict[int, list[int]], num: int, den: int, least: int) -> None:  # noqa: E741
         left, right = (steps(s[2], x, y, n) for s, n in zip(self.sides, (l, r), strict=True))
-        ends = self.before[x], self.after[x]
         # nothing but pairs that pass an edit, are long enough, and reach beyond what is found
         far = [np.take_along_axis(s[0], s[2][:, None] - 1, axis=1)[:, 0] for s in (left, right)]
         known = np.array([top[k][:2] for k in x.tolist()]).reshape(-1, 2)
         use = ((left[2] > 1) | (right[2] > 1)) & (far[0] + far[1] + SEED >= least) & ((far[0] > known[:, 0]) | (far[1] > known[:, 1]))
-        for k in np.flatnonzero(use).tolist():
-            row, other = int(x[k]), int(y[k])
+        k = np.flatnonzero(use)
+        # if the widest span is similar enough, no other of the pair says more
+        ok, both = self._similar(x[k], y[k], left, right, k, left[2][k] - 1, right[2][k] - 1, num, den)
+        good = [(k[ok], left[2][k[ok]] - 1, right[2][k[ok]] - 1)]
+        k, both = k[~ok], both[~ok]
+        n = left[2][k] * right[2][k] - 2  # all spans but what is equal as it is, and the widest
+        k, both = np.repeat(k, n), np.repeat(both, n)
+        i, j = np.divmod(np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + 1, right[2][k])
+        p, q = left[0][k, i], right[0][k, j]
+        mine, theirs = p + q + SEED - N + 1, left[1][k, i] + right[1][k, j] + SEED - N + 1
+        most = np.minimum(both, np.minimum(mine, theirs))  # a span shares no more than the widest
+        u = np.flatnonzero((p + q + SEED >= least) & ((p > known[k, 0]) | (q > known[k, 1])) & ((both < 0) | (den * most >= num * (mine + theirs - most))))
+        k, i, j = k[u], i[u], j[u]
+        ok, _ = self._similar(x[k], y[k], left, right, k, i, j, num, den)
+        good.append((k[ok], i[ok], j[ok]))
+        k, i, j = (np.concatenate(v) for v in zip(*good, strict=True))
+        p, q = left[0][k, i], right[0][k, j]
+        order = np.lexsort((-q, -p, -p - q, k))  # of a pair the longest first
+        for row, before, after, doc in zip(*(v[order].tolist() for v in (x[k], p, q, self.docs[y[k]])), strict=True):
             best = top[row]
-            ls = list(zip(left[0][k, : left[2][k]].tolist(), left[1][k, : left[2][k]].tolist(), strict=True))
-            rs = list(zip(right[0][k, : right[2][k]].tolist(), right[1][k, : right[2][k]].tolist(), strict=True))
-            spans = [(p[0] + q[0] + SEED, p, q) for p in ls for q in rs]
-            del spans[0]  # what is equal as it is
-            if len(spans) > 1:
-                spans.sort(reverse=True)
-            (mine, mine_set), (theirs, their_set) = self._whole(row), self._whole(other)
-            plain = len(mine) == len(mine_set) and len(theirs) == len(their_set)  # no shingle twice
-            in_both = list(accumulate(map(their_set.__contains__, mine), initial=0)), list(accumulate(map(mine_set.__contains__, theirs), initial=0))
-            a, b = int(self.before[row]), int(self.before[other])
-            for size, p, q in spans:
-                if size < least:
-                    break
-                if p[0] <= best[0] and q[0] <= best[1]:
-                    continue
-                one, two = slice(a - p[0], a + SEED + q[0] - N + 1), slice(b - p[1], b + SEED + q[1] - N + 1)
-                if plain:
-                    most = min(in_both[0][one.stop] - in_both[0][one.start], in_both[1][two.stop] - in_both[1][two.start])
-                    if den * most < num * (one.stop - one.start + two.stop - two.start - most):
-                        continue
-                u, v = set(mine[one]), set(theirs[two])
-                both = len(u & v)
-                if den * both >= num * (len(u) + len(v) - both):
-                    best[:] = max(best[0], p[0]), max(best[1], q[0]), min(best[2], int(self.docs[other]))
-
-    def _whole(self, k: int) -> tuple[list[int], frozenset]:
-        if k not in self._lists:
-            s = int(self.starts[k])
-            found = self.grams[s : s + int(self.before[k] + SEED + self.after[k]) - N + 1].tolist()
-            self._lists[k] = found, frozenset(found)
-        return self._lists[k]
+            if before > best[0] or after > best[1]:
+                best[:] = max(best[0], before), max(best[1], after), min(best[2], doc)
+
+    def _similar(self, x: np.ndarray, y: np.ndarray, left: tuple, right: tuple, k: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether x and y, as far as step i before and step j after of pairs k, have a Jaccard of num / den: exactly, of the sets of their shingles.
+
+        And how many shingles they share, or -1 where one of them has a shingle twice.
+        """
+        out, shared = np.empty(len(x), bool), np.empty(len(x), np.int64)
+        wide = np.arange(2 * AROUND + SEED - N + 1)
+        pad = ~_U(0)
+
+        def distinct(rows: np.ndarray) -> np.ndarray:
+            rows.sort(axis=1)
+            return ((rows[:, 1:] != rows[:, :-1]) & (rows[:, 1:] != pad)).sum(axis=1) + (rows[:, 0] != pad)
+
+        for a in range(0, len(x), 2048):
+            part = slice(a, a + 2048)
+            both, size = [], 0
+            for side, row in enumerate((x[part], y[part])):
+                p, q = left[side][k[part], i[part]], right[side][k[part], j[part]]
+                at = (self.starts[row] + self.before[row] - p)[:, None] + wide
+                size = size + p + q + SEED - N + 1
+                both.append(np.where(wide < (p + q + SEED - N + 1)[:, None], self.grams[np.minimum(at, len(self.grams) - 1)], pad))
+            union = distinct(np.hstack(both))
+            each = distinct(both[0]) + distinct(both[1])
+            out[part] = den * (each - union) >= num * union
+            shared[part] = np.where(each == size, each - union, -1)
+        return out, shared
 
 
 _HALF = np.cumprod(np.full((RUN - SEED) // 2, S.BASE, _U), dtype=_U)
@@ -406,7 +418,8 @@ def _spans(docs: DataFrame, num: int, den: int, least: int, scratch: Scratch) ->
     around = _surroundings(docs, classes.join(varied, "d").select("c", "doc", "tiles"))
     found = _compared(around, num, den, least).groupBy("c").agg(F.max("before").alias("more"), F.max("after").alias("beyond"), F.min("keeper").alias("keeper"))
     # a class's later documents have all of it in the first; of the first's, a part may be in other classes' documents
-    known = classes.join(scratch.save(found, "found"), "c", "left").where("doc < last or keeper is not null").select("c", F.col("doc").alias("first"), "more", "beyond", "keeper")
+    found = scratch.save(found, "found")
+    known = classes.join(found, "c", "left").where("doc < last or keeper is not null").select("c", F.col("doc").alias("first"), "more", "beyond", "keeper")
     rows = seen.join(known, "c")
     whole = (F.col("doc") > F.col("first")) & (F.col("before") + SEED + F.col("after") >= least)
     rows = rows.where(whole | F.col("keeper").isNotNull())
