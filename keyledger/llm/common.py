@@ -70,6 +70,11 @@ class Scratch:
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
+    def free(self) -> None:
+        """Lets the executors delete shuffle files that no plan needs any more: Spark does so when the driver collects garbage, which may be much later."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of `df` whose key is in `ids` (saved, one column of that name and type), by a semi-join that shuffles few other rows.

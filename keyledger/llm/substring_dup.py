@@ -413,12 +413,15 @@ def _spans(docs: DataFrame, num: int, den: int, least: int, scratch: Scratch) ->
     several = bands.groupBy("d").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x < y").select("d")
     seen = scratch.save(among(bands, scratch.save(several, "several"), "d"), "seen")
     scratch.drop(bands)
+    scratch.free()
     classes = scratch.save(seen.groupBy("c").agg(F.min("doc").alias("doc"), F.max("doc").alias("last"), F.min("d").alias("d")), "classes")
+    scratch.free()
     varied = classes.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "tiles")
     around = _surroundings(docs, classes.join(varied, "d").select("c", "doc", "tiles"))
     found = _compared(around, num, den, least).groupBy("c").agg(F.max("before").alias("more"), F.max("after").alias("beyond"), F.min("keeper").alias("keeper"))
     # a class's later documents have all of it in the first; of the first's, a part may be in other classes' documents
     found = scratch.save(found, "found")
+    scratch.free()
     known = classes.join(found, "c", "left").where("doc < last or keeper is not null").select("c", F.col("doc").alias("first"), "more", "beyond", "keeper")
     rows = seen.join(known, "c")
     whole = (F.col("doc") > F.col("first")) & (F.col("before") + SEED + F.col("after") >= least)
