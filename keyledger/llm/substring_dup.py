@@ -31,7 +31,7 @@ from keyledger.llm import shingles as S
 from keyledger.llm.common import Scratch, among, arrow_map, fresh, pieces, texts_of
 from keyledger.llm.components import components
 
-N, SEED, GAP, AROUND, EDIT, TILE = 5, 13, 13, 64, 11, 1024
+N, SEED, GAP, AROUND, EDIT, TILE = 5, 13, 13, 64, 11, 2048
 RUN = SEED + GAP - 1  # words of a paragraph
 LEAST = 51
 #: Rows and pairs of classes that are compared at a time.
@@ -155,36 +155,37 @@ def _shingles(words: np.ndarray) -> np.ndarray:
 
 
 #: The order in which pairs of places behind an edit are taken: those that skip least first.
-_REACH = np.arange(EDIT + 1)
 _RANK = np.empty((EDIT + 1) ** 2, np.int16)
 _RANK[sorted(range(len(_RANK)), key=lambda k: (max(divmod(k, EDIT + 1)), sum(divmod(k, EDIT + 1)), k))] = np.arange(len(_RANK))
 
 
-def steps(g: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def steps(g: np.ndarray, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """How far rows x and y of a table of shingles, outwards, go together: n words, then after each edit that 5 equal words follow.
 
-    Gives the words of either side, a column for each edit passed, and how many columns a pair has. Zeros are no shingles; the last column is zero.
+    g: AROUND columns, zeros for no shingle, and as many zeros and one more. Gives the words of either side, a column for each edit passed, how many columns a pair has, and how many shingles went together behind edits.
     """
-    i, j, last = n.copy(), n.copy(), g.shape[1] - 1
-    along, across, many, going = [n], [n], np.zeros(len(x), np.int64), np.arange(len(x))
-    wide = np.arange(last + 1)
+    i, j = n.astype(np.int64), n.astype(np.int64)
+    near, far = (np.lib.stride_tricks.sliding_window_view(g, k, axis=1) for k in (EDIT + 1, AROUND + 1))  # copied a row at a time
+    along, across, many, going = [i.copy()], [j.copy()], np.zeros(len(x), np.int64), np.arange(len(x))
+    shared = [np.zeros(len(x), np.int64)]
     while len(going):
-        p, q = x[going, None], y[going, None]
-        a, b = g[p, np.minimum(i[going, None] + _REACH, last)], g[q, np.minimum(j[going, None] + _REACH, last)]
+        a, b = near[x[going], i[going]], near[y[going], j[going]]
         rank = np.where((a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None], _RANK.reshape(EDIT + 1, -1), 9999).reshape(len(going), -1)
         best = rank.argmin(axis=1)
         ok = rank[np.arange(len(going)), best] < 9999
         going, best = going[ok], best[ok]
         i[going] += best // (EDIT + 1)
         j[going] += best % (EDIT + 1)
-        a = g[x[going, None], np.minimum(i[going, None] + wide, last)]
-        run = ((a != g[y[going, None], np.minimum(j[going, None] + wide, last)]) | (a == 0)).argmax(axis=1)
+        a = far[x[going], i[going]]
+        run = ((a != far[y[going], j[going]]) | (a == 0)).argmax(axis=1)
         i[going] += run + N - 1
         j[going] += run + N - 1
         many[going] += 1
         along.append(i.copy())
         across.append(j.copy())
-    return np.stack(along, axis=1), np.stack(across, axis=1), many + 1
+        shared.append(shared[-1].copy())
+        shared[-1][going] += run
+    return np.stack(along, axis=1), np.stack(across, axis=1), many + 1, np.stack(shared, axis=1)
 
 
 class Classes:
@@ -199,15 +200,67 @@ class Classes:
         middle = self.starts + self.before
         out = np.arange(AROUND)
         self.sides = []
-        self.grams = _shingles(flat)
+        self.grams = np.append(_shingles(flat), np.zeros(2 * AROUND + SEED, _U))  # so many from any place on
         for limit, begin, sign, shift in ((self.before, middle - 1, -1, N - 1), (self.after, middle + SEED, 1, 0)):
             at = np.clip(begin[:, None] + sign * out, 0, len(flat) - 1)
             h = np.where(out < limit[:, None], flat[at], 0)
             g = np.where(out <= limit[:, None] - N, self.grams[np.clip(at - shift, 0, len(self.grams) - 1)], 0)
             # a last column that always differs ends every comparison
-            self.sides.append((limit, np.hstack([h, np.zeros((len(h), 1), h.dtype)]), np.hstack([g, np.zeros((len(g), EDIT + 1), g.dtype)]), h[:, : (RUN - SEED) // 2].astype(_U) @ _HALF))
-        self._common: list[np.ndarray] | None = None
+            self.sides.append((limit, np.hstack([h, np.zeros((len(h), 1), h.dtype)]), np.hstack([g, np.zeros((len(g), AROUND + 1), g.dtype)]), h[:, : (RUN - SEED) // 2].astype(_U) @ _HALF))
         self._bands = bands
+        self._sizes = sizes
+        self.reach = (self.before, self.after)
+        self._trees: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    def index(self) -> None:
+        """For many pairs: makes what pairs have in common a few look-ups each, and narrows `reach`, the words at either side that an earlier document may have."""
+        n = len(self.docs)
+        # of each shingle: whether an earlier document's class of the band has it, and whether a later one's
+        row = np.repeat(np.arange(n), self._sizes - N + 1)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(self._sizes - N + 1) - (self._sizes - N + 1), self._sizes - N + 1)
+        place = self.starts[row] + offset
+        key = S.mix(self.grams[place] + S.mix(self._bands[row].astype(_U)))
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
+        stop = np.append(first[1:], len(key))
+        docs = self.docs[row]
+        earlier, later = np.empty(len(key), bool), np.empty(len(key), bool)
+        earlier[order] = np.repeat(docs[order[first]], stop - first) < docs[order]
+        later[order] = np.repeat(docs[order[stop - 1]], stop - first) > docs[order]
+        begin = np.flatnonzero(offset == 0)
+        low = np.minimum.reduceat(np.where(earlier, offset, 2 * AROUND + SEED), begin)
+        high = np.maximum.reduceat(np.where(earlier, offset, -N), begin)
+        self.reach = (np.maximum(self.before - low, 0), np.maximum(high + N - SEED - self.before, 0))
+        numbers = np.empty(len(key), np.uint32)  # shorter than hashes, and equal where these are
+        numbers[order] = np.repeat(np.arange(1, len(first) + 1, dtype=np.uint32), stop - first)
+        self.grams = np.zeros(len(self.grams), np.uint32)
+        self.grams[place] = numbers
+        # a bit for each shingle within an edit's reach behind so many equal words
+        bit = _U(1) << (key >> _U(58))
+        ahead, behind = np.zeros(len(self.grams), _U), np.zeros(len(self.grams), _U)
+        ahead[place], behind[place] = np.where(earlier, bit, 0), np.where(later, bit, 0)
+        self._bits, self._trees = [], []
+        middle, out = self.starts + self.before, np.arange(AROUND)
+        for side, at in zip((0, 1), (middle[:, None] - N - out, (middle + SEED)[:, None] + out), strict=True):
+            limit, h, _, half = self.sides[side]
+            at, there = np.clip(at, 0, len(self.grams) - 1), out <= limit[:, None] - N
+            wide = [np.hstack([np.where(there, x[at], 0), np.zeros((n, EDIT + 1), _U)]) for x in (ahead, behind)]
+            self._bits.append([np.append(_each(x.ravel(), EDIT + 1, np.bitwise_or), np.zeros(EDIT, _U)).reshape(x.shape)[:, : AROUND + 1].copy() for x in wide])
+            self.sides[side] = (limit, h, np.hstack([np.where(there, self.grams[at], 0), np.zeros((n, AROUND + 1), np.uint32)]), half)
+            # sorted by their words, two classes share the fewest that any neighbours between them share
+            h = h[:, :AROUND]
+            order = np.argsort(np.ascontiguousarray(h.astype(">u4")).view(f"V{4 * AROUND}").ravel(), kind="stable")
+            order = order[np.argsort(self._bands[order], kind="stable")]
+            differs = np.hstack([h[order[1:]] != h[order[:-1]], np.ones((n - 1, 1), bool)])
+            least = [np.append(differs.argmax(axis=1), 0).astype(np.int8)]
+            for k in range(max(1, n - 1).bit_length() - 1):
+                least.append(np.append(np.minimum(least[-1][: -(1 << k)], least[-1][1 << k :]), np.zeros(1 << k, np.int8)))
+            ranks = np.empty(n, np.int64)
+            ranks[order] = np.arange(n)
+            self._trees.append((ranks, np.concatenate(least)))
+        self._log = np.zeros(n + 1, np.int64)
+        for k in range(1, n.bit_length()):
+            self._log[1 << k :] = k
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether pairs may share a paragraph: half of its other words at one side or the other."""
@@ -216,29 +269,24 @@ class Classes:
     def equal(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many words next to the band's shingle classes x and y share, before and after."""
         out = []
+        if self._trees is not None:
+            for (limit, *_), (ranks, least) in zip(self.sides, self._trees, strict=True):
+                p, q = ranks[x], ranks[y]
+                p, q = np.minimum(p, q), np.maximum(p, q)
+                k = self._log[q - p]
+                level = k * len(ranks)
+                out.append(np.minimum(np.minimum(least[level + p], least[level + q - (1 << k)]), np.minimum(limit[x], limit[y])))
+            return out[0], out[1]
         for limit, h, *_ in self.sides:
             differs = h[x] != h[y]
             differs[:, -1] = True
             out.append(np.minimum(differs.argmax(axis=1), np.minimum(limit[x], limit[y])))
         return out[0], out[1]
 
-    def may_bridge(self, x: np.ndarray, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Whether behind what is equal x has any shingle, within an edit's reach, that another class of its band has too."""
-        if self._common is None:
-            g = np.hstack([s[2] for s in self.sides])
-            row, at = np.nonzero(g)
-            key = S.mix(g[row, at] + S.mix(self._bands[row].astype(_U)))
-            order = np.lexsort((row, key))
-            k, r = key[order], row[order]
-            start = np.append(True, k[1:] != k[:-1])
-            several = np.logical_or.reduceat(np.append(False, (r[1:] != r[:-1]) & ~start[1:]), np.flatnonzero(start)) if len(k) else np.empty(0, bool)
-            there = np.zeros(g.shape, bool)
-            there[row[order], at[order]] = several[np.cumsum(start) - 1]
-            self._common = []
-            for part in np.hsplit(there, 2):
-                pad = np.hstack([part, np.zeros((len(part), EDIT), bool)])
-                self._common.append(np.lib.stride_tricks.sliding_window_view(pad, EDIT + 1, axis=1).any(axis=2))
-        return self._common[0][x, far[0]] | self._common[1][x, far[1]]
+    def may_bridge(self, x: np.ndarray, y: np.ndarray, far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Whether behind what is equal x and y may have a shingle in common, within an edit's reach: those that have one, and few others."""
+        (p, q), (r, s) = self._bits
+        return ((p[x, far[0]] & q[y, far[0]]) | (r[x, far[1]] & s[y, far[1]])) != 0
 
     def grown(self, x: np.ndarray, y: np.ndarray, l: np.ndarray, r: np.ndarray, top: dict[int, list[int]], num: int, den: int, least: int) -> None:  # noqa: E741
         """Takes what classes y have of classes x across edits into top: by x, words before, after, and keeper. x in order, the nearest y first."""
@@ -251,7 +299,7 @@ class Classes:
             pairs = np.repeat(first[: len(take)] - np.cumsum(take) + take, take) + np.arange(take.sum())
             self._grow(x[pairs], y[pairs], l[pairs], r[pairs], top, num, den, least)
             first[: len(take)] += take
-            open_ = np.array([a < b and (top[k][0] < p or top[k][1] < q) for a, b, k, p, q in zip(first.tolist(), stop.tolist(), *(v[np.minimum(first, len(x) - 1)].tolist() for v in (x, self.before[x], self.after[x])), strict=True)], bool)
+            open_ = np.array([a < b and (top[k][0] < p or top[k][1] < q) for a, b, k, p, q in zip(first.tolist(), stop.tolist(), *(v[np.minimum(first, len(x) - 1)].tolist() for v in (x, self.reach[0][x], self.reach[1][x])), strict=True)], bool)
             if len(take) == len(first):
                 more = min(2 * more, 256)
             first, stop = first[open_], stop[open_]
@@ -272,8 +320,15 @@ class Classes:
         i, j = np.divmod(np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n) + 1, right[2][k])
         p, q = left[0][k, i], right[0][k, j]
         mine, theirs = p + q + SEED - N + 1, left[1][k, i] + right[1][k, j] + SEED - N + 1
-        most = np.minimum(both, np.minimum(mine, theirs))  # a span shares no more than the widest
-        u = np.flatnonzero((p + q + SEED >= least) & ((p > known[k, 0]) | (q > known[k, 1])) & ((both < 0) | (den * most >= num * (mine + theirs - most))))
+        # without repeats a span shares what goes together, and of the rest no more than the widest
+        same = l[k] + r[k] + SEED - N + 1 + left[3][k, i] + right[3][k, j]
+        rest = both - (l[k] + r[k] + SEED - N + 1 + left[3][k, left[2][k] - 1] + right[3][k, right[2][k] - 1])
+        most = np.minimum(same + rest, np.minimum(mine, theirs))
+        use = (p + q + SEED >= least) & ((p > known[k, 0]) | (q > known[k, 1])) & ((both < 0) | (den * most >= num * (mine + theirs - most)))
+        sure = (both >= 0) & (den * same >= num * (mine + theirs - same))
+        u = np.flatnonzero(use & sure)
+        good.append((k[u], i[u], j[u]))
+        u = np.flatnonzero(use & ~sure)
         k, i, j = k[u], i[u], j[u]
         ok, _ = self._similar(x[k], y[k], left, right, k, i, j, num, den)
         good.append((k[ok], i[ok], j[ok]))
@@ -292,7 +347,8 @@ class Classes:
         """
         out, shared = np.empty(len(x), bool), np.empty(len(x), np.int64)
         wide = np.arange(2 * AROUND + SEED - N + 1)
-        pad = ~_U(0)
+        pad = np.iinfo(self.grams.dtype).max
+        rows = np.lib.stride_tricks.sliding_window_view(self.grams, len(wide))
 
         def distinct(rows: np.ndarray) -> np.ndarray:
             rows.sort(axis=1)
@@ -303,9 +359,9 @@ class Classes:
             both, size = [], 0
             for side, row in enumerate((x[part], y[part])):
                 p, q = left[side][k[part], i[part]], right[side][k[part], j[part]]
-                at = (self.starts[row] + self.before[row] - p)[:, None] + wide
+                at = self.starts[row] + self.before[row] - p
                 size = size + p + q + SEED - N + 1
-                both.append(np.where(wide < (p + q + SEED - N + 1)[:, None], self.grams[np.minimum(at, len(self.grams) - 1)], pad))
+                both.append(np.where(wide < (p + q + SEED - N + 1)[:, None], rows[at], pad))
             union = distinct(np.hstack(both))
             each = distinct(both[0]) + distinct(both[1])
             out[part] = den * (each - union) >= num * union
@@ -329,9 +385,12 @@ def matches(bands: np.ndarray, docs: np.ndarray, before: np.ndarray, words: list
     many = np.maximum.accumulate(np.where(same, 0, np.arange(n))) - begin  # rows of the band before the row's own document
     total = np.cumsum(many)
     crowded = total[-1] > 16 * n
+    if crowded:
+        all_.index()
+    most = 8 * PAIRS if crowded else PAIRS
     at = 0
     while at < n:
-        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
         m = many[at:upto]
         x = np.repeat(np.arange(at, upto), m)
         y = np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m) + begin[x]
@@ -348,11 +407,11 @@ def matches(bands: np.ndarray, docs: np.ndarray, before: np.ndarray, words: list
         whole = size >= least
         found = np.stack([np.maximum.reduceat(np.where(whole, v, -1), first) for v in (l, r)] + [np.minimum.reduceat(np.where(whole, docs[y], 2**63 - 1), first)], axis=1)
         rows = x[first]
-        open_ = (found[:, 0] < all_.before[rows]) | (found[:, 1] < all_.after[rows])
+        open_ = (found[:, 0] < all_.reach[0][rows]) | (found[:, 1] < all_.reach[1][rows])
         top = dict(zip(rows.tolist(), found.tolist(), strict=True))
         left = np.flatnonzero((size >= RUN) & np.repeat(open_, np.diff(np.append(first, len(x)))))
         if crowded and len(left):
-            left = left[all_.may_bridge(x[left], (l[left], r[left]))]
+            left = left[all_.may_bridge(x[left], y[left], (l[left], r[left]))]
         if len(left):
             left = left[np.lexsort((y[left], -size[left], x[left]))]
             all_.grown(x[left], y[left], l[left], r[left], top, num, den, least)
